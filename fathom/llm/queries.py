@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.buckets import bucket_sql, value_sql
-from fathom.llm import distinct, frequent, quantiles
+from fathom.llm import abuse, distinct, frequent, leaks, packing, quantiles
 from fathom.sources.tables import table
 
 # --- 1: distinct counts
@@ -87,6 +87,47 @@ def p6_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FREQUENT = " union all ".join(f"select '{c}' column_name, {c} item, count(*) n, (select count(*) from requests where {c} <> '') total from requests where {c} <> '' group by {c}" for c in _TEXTS)
 
+# --- 7: containers
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each text or piece, with the unused space."""
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")))
+
+
+def p7_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Used and unused tokens of each container."""
+    return packing.containers(p7_containers(spark, sf_dir))
+
+
+# --- 8: leaks
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per leaked item and field: the documents that hold it and the longest run of words found."""
+    found = leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id", "field").agg(F.count_distinct("doc_id").alias("documents"), F.max("run").alias("longest_run"))
+
+
+# --- 9: abuse
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score(table(spark, sf_dir, "documents")).where("abusive_sentences > 0").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score(table(spark, sf_dir, "documents"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(abuse.score(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "p1_distinct_counts": p1_distinct_counts,
     "p1_partials": p1_partials,
@@ -95,6 +136,13 @@ QUERIES = {
     "p5_partials": p5_partials,
     "p6_found": p6_found,
     "p6_frequent": p6_frequent,
+    "p7_containers": p7_containers,
+    "p7_filling": p7_filling,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 
 SQL = {
