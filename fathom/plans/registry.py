@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("data_problems",)
+MODULES = ("data_problems", "expression_queries")
 FLAGSHIP = "p4_masks"
 
 
