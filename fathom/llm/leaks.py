@@ -155,24 +155,34 @@ class Passages:
             out[2].append(self.place[entry])
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
-    def compare(self, codes: np.ndarray, tokens: list[str], passage: int) -> tuple[bool, int, float]:
-        """(leaked, longest common run, greatest share kept over a long enough stretch) of a region and a passage."""
-        a, b = codes, self.coded[passage]
-        best = 0
-        grid = a[:, None] == b[None, :]
-        row = np.zeros(len(b), np.int32)
-        for g in grid:
-            row = np.where(g, np.concatenate(([0], row[:-1])) + 1, 0)
-            best = max(best, int(row.max()))
-        if best >= self.run:
-            return True, best, 1.0
+    def compare(self, codes: np.ndarray, tokens: list[str], passage: int) -> float:
+        """The greatest share that a region keeps of a long enough stretch of a passage."""
+        b = self.coded[passage]
         # exact weighted-shingle bound: the words both have, with multiplicity, can keep no more than this of a stretch
-        shared = sum((Counter(a.tolist()) & Counter(b.tolist())).values())
-        need = self.stretch - self.stretch // self.per_edit
-        if shared < need:
-            return False, best, 0.0
-        kept = self._stretch(a, tokens, b, self.texts[passage])
-        return kept >= 1 - 1 / self.per_edit, best, kept
+        shared = sum((Counter(codes.tolist()) & Counter(b.tolist())).values())
+        if shared < self.stretch - self.stretch // self.per_edit:
+            return 0.0
+        return self._stretch(codes, tokens, b, self.texts[passage])
+
+    def longest_run(self, codes: np.ndarray, where: np.ndarray, place: np.ndarray, passage: int) -> int:
+        """The longest common run of words, from the matched windows: all windows of a common run match, so it shows as
+        neighbouring windows on one diagonal, whose words are then compared."""
+        b = self.coded[passage]
+        diagonal = where - place
+        order = np.lexsort((where, diagonal))
+        w, d = where[order], diagonal[order]
+        cut = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (w[1:] != w[:-1] + 1), [True])))
+        best = 0
+        for i in range(len(cut) - 1):
+            size = int(cut[i + 1] - cut[i]) + self.width - 1
+            if size <= best:
+                continue
+            at, off = int(w[cut[i]]), int(d[cut[i]])
+            size = min(size, len(codes) - at)  # the last windows of a text reach into the gap behind it
+            same = codes[at : at + size] == b[at - off : at - off + size]
+            ends = np.flatnonzero(np.concatenate(([True], ~same, [True])))
+            best = max(best, int(np.diff(ends).max()) - 1)
+        return best
 
     def _stretch(self, a: np.ndarray, tokens: list[str], b: np.ndarray, passage: list[str]) -> float:
         """The greatest share of untouched words over the long enough stretches of the best alignment."""
@@ -219,38 +229,63 @@ class Passages:
 
     def search(self, tokens: list[str]) -> list[tuple[int, int, float]]:
         """(passage, longest run, share kept) of every passage that the words hold."""
+        return next(iter(self.search_many([tokens])))
+
+    def search_many(self, texts: list[list[str]]) -> Iterator[list[tuple[int, int, float]]]:
+        """search() of several texts, whose windows are looked up together."""
         unknown = len(self.vocabulary)
         get = self.vocabulary.get
-        codes = np.fromiter((get(t, unknown) for t in tokens), np.int32, len(tokens))
-        where, who, place = self.seeds_in(codes)
-        if not len(where):
-            return []
-        order = np.lexsort((where, who))
-        where, who, place = where[order], who[order], place[order]
-        found = []
-        bounds = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1], [True])))
-        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            if e - s < self.seeds:
+        coded = [np.array([get(t, unknown) for t in tokens], np.int32) for tokens in texts]
+        gap = np.full(self.width, unknown, np.int32)  # no window spans two texts
+        starts = np.cumsum([0] + [len(c) + self.width for c in coded])
+        where, who, place = self.seeds_in(np.concatenate([x for c in coded for x in (c, gap)]))
+        text = np.searchsorted(starts, where, side="right") - 1
+        order = np.lexsort((where, who, text))
+        where, who, place, text = where[order], who[order], place[order], text[order]
+        bounds = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (text[1:] != text[:-1]), [True]))) if len(where) else np.zeros(1, np.int64)
+        found: list[list[tuple[int, int, float]]] = [[] for _ in texts]
+        for g in np.flatnonzero(np.diff(bounds) >= self.seeds):
+            s, e = int(bounds[g]), int(bounds[g + 1])
+            t, k = int(text[s]), int(who[s])
+            hit = self._decide(coded[t], texts[t], k, where[s:e] - starts[t], place[s:e])
+            if hit:
+                found[t].append((k, *hit))
+        yield from found
+
+    def _decide(self, codes: np.ndarray, tokens: list[str], k: int, spots: np.ndarray, place: np.ndarray) -> tuple[int, float] | None:
+        run = self.longest_run(codes, spots, place, k)
+        if run >= self.run:
+            return run, 1.0
+        reach = len(self.coded[k]) + len(self.coded[k]) // self.per_edit + self.width
+        best = 0.0
+        for part in np.split(spots, np.flatnonzero(np.diff(spots) > reach) + 1):
+            if len(np.unique(part)) < self.seeds:
                 continue
-            k, spots = int(who[s]), where[s:e]
-            reach = len(self.coded[k]) + len(self.coded[k]) // self.per_edit + self.width
-            gaps = np.flatnonzero(np.diff(spots) > reach) + 1
-            best = None
-            for part in np.split(spots, gaps):
-                if len(np.unique(part)) < self.seeds:
-                    continue
-                lo, hi = max(0, int(part[0]) - reach), min(len(codes), int(part[-1]) + self.width + reach)
-                # long regions, as of a passage repeated over and over, are looked at in overlapping pieces
-                for at in range(lo, hi, 4 * reach):
-                    piece = slice(at, min(hi, at + 6 * reach))
-                    leaked, run, kept = self.compare(codes[piece], tokens[piece], k)
-                    if leaked and (best is None or (run, kept) > best):
-                        best = (run, kept)
-                    if piece.stop >= hi:
-                        break
-            if best:
-                found.append((k, *best))
-        return found
+            lo, hi = max(0, int(part[0]) - reach), min(len(codes), int(part[-1]) + self.width + reach)
+            # long regions, as of a passage repeated over and over, are looked at in overlapping pieces
+            for at in range(lo, hi, 4 * reach):
+                piece = slice(at, min(hi, at + 6 * reach))
+                best = max(best, self.compare(codes[piece], tokens[piece], k))
+                if piece.stop >= hi:
+                    break
+        return (run, best) if best >= 1 - 1 / self.per_edit else None
+
+
+def _chunks(batch: pd.DataFrame, size: int) -> Iterator[tuple[list, list[list[str]]]]:
+    """Ids and words of texts, some ``size`` words at a time; a longer text is a chunk of its own."""
+    ids, texts, held = [], [], 0
+    for d, t in zip(batch["d"], batch["t"], strict=True):
+        w = words(t)
+        if not w:
+            continue
+        ids.append(d)
+        texts.append(w)
+        held += len(w)
+        if held >= size:
+            yield ids, texts
+            ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def find(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", fields: tuple[str, ...] = ("question", "answer"), **options) -> DataFrame:
@@ -272,10 +307,11 @@ def find(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
             p = index.value
             for batch in batches:
                 got = defaultdict(list)
-                for d, t in zip(batch["d"], batch["t"], strict=True):
-                    for k, longest, kept in p.search(words(t)):
-                        for c, v in zip(("doc_id", "item_id", "field", "run", "kept"), (d, p.items[k], p.sides[k], longest, kept), strict=True):
-                            got[c].append(v)
+                for ids, texts in _chunks(batch, SLICE // 4):
+                    for d, hits in zip(ids, p.search_many(texts), strict=True):
+                        for k, longest, kept in hits:
+                            for c, v in zip(("doc_id", "item_id", "field", "run", "kept"), (d, p.items[k], p.sides[k], longest, kept), strict=True):
+                                got[c].append(v)
                 if got:
                     yield pd.DataFrame(got)
 
