@@ -26,19 +26,19 @@ def prefix_sums(df: DataFrame, order: list[str], value: Column, keys: list[str]
     ``order`` must not have ties across rows if results are to be exact per row; equal rows get consecutive sums.
     """
     sort = [*keys, *order]
-    ranged = df.withColumn("__v", value).repartitionByRange(*[F.col(f"`{c}`").asc_nulls_first() for c in sort])
-    ranged = checkpoint(ranged.withColumn("__p", F.spark_partition_id()))
-    here = W.partitionBy("__p", *keys).orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order]).rowsBetween(W.unboundedPreceding, 0)
-    totals = ranged.groupBy("__p", *keys).agg(F.sum("__v").alias("__t"))
+    ranged = df.withColumn("__ps_value", value).repartitionByRange(*[F.col(f"`{c}`").asc_nulls_first() for c in sort])
+    ranged = checkpoint(ranged.withColumn("__ps_part", F.spark_partition_id()))
+    here = W.partitionBy("__ps_part", *keys).orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order]).rowsBetween(W.unboundedPreceding, 0)
+    totals = ranged.groupBy("__ps_part", *keys).agg(F.sum("__ps_value").alias("__ps_total"))
     before = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
     # one row per partition and key that it holds: keys * partitions at most, and usually partitions + keys
-    lifted = totals.withColumn("__o", F.coalesce(F.sum("__t").over(before.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    keyed = lifted.select(F.col("__p").alias("__p2"), "__o", *[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)])
-    match = F.col("__p") == F.col("__p2")
+    lifted = totals.withColumn("__ps_offset", F.coalesce(F.sum("__ps_total").over(before.orderBy("__ps_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    keyed = lifted.select(F.col("__ps_part").alias("__ps_part2"), "__ps_offset", *[F.col(f"`{k}`").alias(f"__ps_key{i}") for i, k in enumerate(keys)])
+    match = F.col("__ps_part") == F.col("__ps_part2")
     for i, k in enumerate(keys):
-        match &= F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
-    out = ranged.withColumn("__s", F.sum("__v").over(here)).join(keyed, match)
-    return out.select(*df.columns, (F.col("__s") + F.col("__o")).alias(name))
+        match &= F.col(f"`{k}`").eqNullSafe(F.col(f"__ps_key{i}"))
+    out = ranged.withColumn("__ps_sum", F.sum("__ps_value").over(here)).join(keyed, match)
+    return out.select(*df.columns, (F.col("__ps_sum") + F.col("__ps_offset")).alias(name))
 
 
 def row_index(df: DataFrame, order: list[str], name: str = "row_index") -> DataFrame:
