@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 1.0
 WINDOW = 30
-NEAR = 3
+NEAR = 4
 
 INSULTS = """idiot idiots moron morons imbecile imbeciles cretin cretins halfwit halfwits dimwit dimwits dumbass dumbasss dumbasses asshole assholes
 bastard bastards bitch bitches loser losers clown clowns pig pigs parasite jackass scumbag scumbags dipshit dickhead twat wanker retard
