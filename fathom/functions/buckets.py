@@ -33,8 +33,9 @@ def bucket_of(x: Column, relative_error: float) -> Column:
 def value_of(key: Column, relative_error: float) -> Column:
     """The centre of a bucket."""
     g = gamma(relative_error)
-    size = F.lit(2.0) * F.pow(F.lit(g), F.abs(key).cast("double") - OFFSET) / F.lit(g + 1)
-    return F.when(key == 0, F.lit(0.0)).when(key > 0, size).otherwise(-size)
+    # from the bucket's lower end, so that the last bucket stays finite
+    size = F.least(F.lit(1.7976931348623157e308), F.pow(F.lit(g), F.abs(key).cast("double") - (OFFSET + 1)) * F.lit(2 * g / (g + 1)))
+    return F.when(key == 0, F.lit(0.0)).when(key > 0, size).when(key < 0, -size)
 
 
 def bucket_sql(x: str, relative_error: float) -> str:
@@ -45,5 +46,5 @@ def bucket_sql(x: str, relative_error: float) -> str:
 
 def value_sql(key: str, relative_error: float) -> str:
     g = gamma(relative_error)
-    size = f"(2.0 * pow(cast({g!r} as double), abs({key}) - {OFFSET}) / cast({g + 1!r} as double))"
+    size = f"(pow(cast({g!r} as double), abs({key}) - {OFFSET + 1}) * cast({2 * g / (g + 1)!r} as double))"
     return f"(case when {key} = 0 then 0.0 when {key} > 0 then {size} else -{size} end)"

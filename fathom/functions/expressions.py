@@ -192,7 +192,7 @@ def number_text(x: Column) -> Column:
     plain = x.cast("string")
     wide = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,17)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
-    return F.when(F.isnan(x), "NaN").when(x == math.inf, "inf").when(x == -math.inf, "-inf").when(whole, x.cast("long").cast("string")).when(plain.contains("E") & (F.abs(x) < 1e20), wide).otherwise(plain)
+    return F.when(F.isnan(x), "NaN").when(x == math.inf, "inf").when(x == -math.inf, "-inf").when(whole, x.cast("long").cast("string")).when(plain.contains("E") & (F.abs(x) < 1e20), wide).when((F.abs(x) >= 1e15) & (F.abs(x) < 1e37), x.try_cast("decimal(38,0)").cast("string")).otherwise(plain)
 
 
 def _text(x: Typed) -> Column:
@@ -228,7 +228,7 @@ def java_pattern(strftime: str) -> str:
     out, literal, i = "", "", 0
 
     def flush() -> str:
-        return "'" + literal.replace("'", "''") + "'" if re.search(r"[A-Za-z']", literal) else literal
+        return "'" + literal.replace("'", "''") + "'" if re.search(r"[A-Za-z'\[\]#{}]", literal) else literal
 
     while i < len(strftime):
         c = strftime[i]

@@ -96,21 +96,39 @@ def uuid(ctx: Context) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
+PATTERN_SETS = {"#": "0123456789", "?": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
 @generator("pattern")
 def pattern(ctx: Context, pattern: str = "###") -> Column:
-    """# is a digit, ? a lower and A an upper case letter; anything else stays, also after a backslash."""
-    parts, i = [], 0
+    """# is a digit, ? a lower and A an upper case letter; anything else stays, also after a backslash.
+
+    As many places as 50 bits hold share one draw, which is taken apart by division; digits in a row are one number.
+    """
+    places: list[tuple[str, str]] = []
+    i = 0
     while i < len(pattern):
         ch = pattern[i]
-        sets = {"#": "0123456789", "?": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
         if ch == "\\" and i + 1 < len(pattern):
-            parts.append(F.lit(pattern[i + 1]))
             i += 1
-        elif ch in sets:
-            parts.append(F.substring(F.lit(sets[ch]), ctx.rng.integer(1, len(sets[ch]), ctx.name, i).cast("int"), F.lit(1)))
+            places.append(("", pattern[i]))
+        elif ch == "#" and places and places[-1][0] == "#" and len(places[-1][1]) < 15:
+            places[-1] = ("#", places[-1][1] + "#")
         else:
-            parts.append(F.lit(ch))
+            places.append((ch if ch in PATTERN_SETS else "", ch))
         i += 1
+    size = lambda kind, text: 10 ** len(text) if kind == "#" else 26
+    parts, draw, left, below = [], 0, 1 << 50, 1
+    for kind, text in places:
+        if not kind:
+            parts.append(F.lit(text))
+            continue
+        n = size(kind, text)
+        if below * n > left:
+            draw, below = draw + 1, 1
+        value = F.floor(ctx.rng.uniform(ctx.name, draw) * float(left) / below).cast("long") % n
+        below *= n
+        parts.append(F.lpad(value.cast("string"), len(text), "0") if kind == "#" else F.char(value + (97 if kind == "?" else 65)))
     return F.concat(*parts)
 
 

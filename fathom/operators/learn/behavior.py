@@ -41,7 +41,8 @@ def features(profiles: DataFrame) -> DataFrame:
 
 
 def segments(feature_rows: DataFrame, seed: int = 7) -> DataFrame:
-    """(actor, segment): k-means with the k of the best silhouette, k from 2 to min(ceil(sqrt n), 10, n/2). Segments of fewer than two
+    """(actor, segment): k-means with the k of the best silhouette, k from 2 to min(ceil(sqrt n), 10, n/2) and below
+    the number of different feature rows. Segments of fewer than two
     actors lose to smaller k. Fewer than four actors form one segment."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
@@ -49,10 +50,11 @@ def segments(feature_rows: DataFrame, seed: int = 7) -> DataFrame:
 
     from fathom.session import checkpoint
 
-    rows = checkpoint(VectorAssembler(inputCols=[f"f{i}" for i in range(33)], outputCol="features").transform(feature_rows).select("actor", "features"))
-    n = rows.count()
+    marked = feature_rows.withColumn("__point", F.xxhash64(*[F.round(f"f{i}", 9) for i in range(33)]))
+    rows = checkpoint(VectorAssembler(inputCols=[f"f{i}" for i in range(33)], outputCol="features").transform(marked).select("actor", "features", "__point"))
+    n, points = rows.agg(F.count(F.lit(1)), F.count_distinct("__point")).first()
     best, top = None, -2.0
-    for k in range(2, min(math.ceil(math.sqrt(n)), 10, n // 2) + 1 if n >= 4 else 2):
+    for k in range(2, min(math.ceil(math.sqrt(n)), 10, n // 2, points - 1) + 1 if n >= 4 else 2):
         made = KMeans(k=k, seed=seed, maxIter=50).fit(rows).transform(rows)
         if made.groupBy("prediction").count().agg(F.min("count")).first()[0] < 2:
             continue

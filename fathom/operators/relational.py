@@ -96,8 +96,8 @@ def head_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
 
 
 def total_variation(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
-    """(similarity): 1 minus half the sum of absolute differences between two distributions of values."""
-    side = lambda d, n: d.groupBy(F.col(f"`{column}`").cast("string").alias("v")).agg(F.count(F.lit(1)).alias(n))
+    """(similarity): 1 minus half the sum of absolute differences between two distributions of non-null values."""
+    side = lambda d, n: d.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").cast("string").alias("v")).agg(F.count(F.lit(1)).alias(n))
     both = side(left, "a").join(side(right, "b"), "v", "full_outer")
     sums = both.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     gap = F.abs(F.coalesce("a", F.lit(0)) / F.col("na") - F.coalesce("b", F.lit(0)) / F.col("nb"))

@@ -334,8 +334,9 @@ _hit = lambda name, col: f"{uniform_sql(5, name, 'o_orderkey', col, 'hit')} < 0.
 
 
 def _pattern_sql() -> str:
-    sets = {"#": "0123456789", "?": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-    return " || ".join(f"substr('{sets[c]}', {integer_sql(1, len(sets[c]), 42, 'shop', 'r', 'code', i)}, 1)" if c in sets else f"'{c}'" for i, c in enumerate("AA-##?"))
+    draw = f"floor({uniform_sql(42, 'shop', 'r', 'code', 0)} * {float(1 << 50)!r}"
+    digit = lambda below, n: f"cast({draw} / {below}) as bigint) % {n}"
+    return f"chr(cast({digit(1, 26)} + 65 as int)) || chr(cast({digit(26, 26)} + 65 as int)) || '-' || lpad(cast({digit(676, 100)} as varchar), 2, '0') || chr(cast({digit(67600, 26)} + 97 as int))"
 
 
 _UUID = "md5('42|shop|uid|' || cast(r as varchar))"
