@@ -54,7 +54,7 @@ def segments(feature_rows: DataFrame, seed: int = 7) -> DataFrame:
     rows = checkpoint(VectorAssembler(inputCols=[f"f{i}" for i in range(33)], outputCol="features").transform(marked).select("actor", "features", "__point"))
     n, points = rows.agg(F.count(F.lit(1)), F.count_distinct("__point")).first()
     best, top = None, -2.0
-    for k in range(2, min(math.ceil(math.sqrt(n)), 10, n // 2, points - 1) + 1 if n >= 4 else 2):
+    for k in range(2, min(math.ceil(math.sqrt(n)), 10, n // 2, points if points <= 2 else points - 1) + 1 if n >= 4 else 2):
         made = KMeans(k=k, seed=seed, maxIter=50).fit(rows).transform(rows)
         if made.groupBy("prediction").count().agg(F.min("count")).first()[0] < 2:
             continue
