@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 THRESHOLD = 1.0
 WINDOW = 30
 NEAR = 4
+#: No lexicon word is near as long; longer tokens are compared as they are.
+LONG_TOKEN = 64
 
 INSULTS = """idiot idiots moron morons imbecile imbeciles cretin cretins halfwit halfwits dimwit dimwits dumbass dumbasss dumbasses asshole assholes
 bastard bastards bitch bitches loser losers clown clowns pig pigs parasite jackass scumbag scumbags dipshit dickhead twat wanker retard
@@ -169,6 +171,7 @@ class Lexicon:
             self.automaton.add_word(f" {p} ", (p, c, w, p.count(" ") + 1))
         self.automaton.make_automaton()
         self.words = {w for p in self.phrases for w in p.split()}
+        self.longest = max(map(len, self.words))
         self.by_length = defaultdict(list)
         strong = [w for w in [*INSULTS, *SLURS, *ADJECTIVES, *SEXUAL, "shit", "fuck"] if len(w) > 2]
         for w in strong:
@@ -241,18 +244,26 @@ class Lexicon:
             if t[0] in ".!?…\n" and not any(c.isalnum() for c in t):
                 out.append(".")
             else:
-                out.append(self.canonical(t.replace("'", "").replace("’", "") if not t.isalnum() and "'" in t or "’" in t else t))
+                t = t.replace("'", "").replace("’", "")
+                if len(t) > LONG_TOKEN:
+                    t = _DRAWN.sub(r"\1", t)
+                out.append(self.canonical(t) if len(t) <= LONG_TOKEN else t)
         return out
 
     def _joined(self, m: re.Match) -> str:
-        """Letters set apart, put together where they spell a lexicon word."""
-        letters = re.findall(r"[^\W_]|[@$!]", m.group())
-        for size in range(len(letters), 2, -1):
-            for at in range(len(letters) - size + 1):
+        """Letters set apart, put together where they spell a lexicon word; a long row of letters is read once."""
+        letters, out, at = re.findall(r"[^\W_]|[@$!]", m.group()), [], 0
+        while at < len(letters):
+            for size in range(min(self.longest, len(letters) - at), 2, -1):
                 word = self.canonical("".join(letters[at : at + size]))
                 if word in self.words:
-                    return " ".join([*letters[:at], word, *letters[at + size :]])
-        return m.group()
+                    out.append(word)
+                    at += size
+                    break
+            else:
+                out.append(letters[at])
+                at += 1
+        return " ".join(out) if any(len(w) > 1 for w in out) else m.group()
 
     def sentences(self, text: str | None) -> Iterator[tuple[float, str, int]]:
         """(score, category, words) of each sentence."""

@@ -26,7 +26,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,6 +77,8 @@ class Passages:
                 self.items.append(item)
                 self.sides.append(side)
                 self.texts.append(w)
+        longest = max(map(len, self.texts), default=0)
+        self.reach = longest + longest // per_edit + self.width
         df = Counter(w for t in self.texts for w in set(t))
         self.vocabulary = {w: i for i, w in enumerate(sorted(df))}
         vectors = np.zeros((len(self.vocabulary) + 1, _BITS), np.float32)  # the last row, of unknown words, weighs nothing
@@ -271,21 +273,24 @@ class Passages:
         return (run, best) if best >= 1 - 1 / self.per_edit else None
 
 
-def _chunks(batch: pd.DataFrame, size: int) -> Iterator[tuple[list, list[list[str]]]]:
-    """Ids and words of texts, some ``size`` words at a time; a longer text is a chunk of its own."""
-    ids, texts, held = [], [], 0
-    for d, t in zip(batch["d"], batch["t"], strict=True):
+def _chunks(texts: pd.Series, size: int, overlap: int) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """Row numbers and words of texts, some ``size`` words at a time. Longer texts come in pieces that overlap by more than any stretch of
+    a passage can cover, so what a text holds is whole in some piece."""
+    rows, held_texts, held = [], [], 0
+    for i, t in enumerate(texts):
         w = words(t)
-        if not w:
-            continue
-        ids.append(d)
-        texts.append(w)
-        held += len(w)
-        if held >= size:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
+        for at in range(0, max(1, len(w) - overlap), size):
+            piece = w[at : at + size + overlap]
+            if not piece:
+                continue
+            rows.append(i)
+            held_texts.append(piece)
+            held += len(piece)
+            if held >= size:
+                yield rows, held_texts
+                rows, held_texts, held = [], [], 0
+    if rows:
+        yield rows, held_texts
 
 
 def find(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", fields: tuple[str, ...] = ("question", "answer"), **options) -> DataFrame:
@@ -306,14 +311,14 @@ def find(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             p = index.value
             for batch in batches:
-                got = defaultdict(list)
-                for ids, texts in _chunks(batch, SLICE // 4):
-                    for d, hits in zip(ids, p.search_many(texts), strict=True):
+                best: dict[tuple[int, int], tuple[int, float]] = {}
+                for numbers, texts in _chunks(batch["t"], SLICE // 4, 4 * p.reach):
+                    for i, hits in zip(numbers, p.search_many(texts), strict=True):
                         for k, longest, kept in hits:
-                            for c, v in zip(("doc_id", "item_id", "field", "run", "kept"), (d, p.items[k], p.sides[k], longest, kept), strict=True):
-                                got[c].append(v)
-                if got:
-                    yield pd.DataFrame(got)
+                            best[(i, k)] = max(best.get((i, k), (0, 0.0)), (longest, kept))
+                if best:
+                    ids = batch["d"].tolist()
+                    yield pd.DataFrame([(ids[i], p.items[k], p.sides[k], *v) for (i, k), v in best.items()], columns=["doc_id", "item_id", "field", "run", "kept"])
 
         found = source.mapInPandas(run, schema)
         out = found if out is None else out.unionByName(found)

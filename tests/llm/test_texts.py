@@ -102,6 +102,18 @@ def test_words_ignore_form():
     assert L.words(None) == L.words(" \n ") == []
 
 
+def test_long_texts_in_pieces(items, index):
+    """Passages anywhere in a long text are found, also where pieces meet, and a text of nothing but common words takes bounded room."""
+    import pandas as pd
+
+    for at in (0, 24_990, 24_999, 25_400, 59_000):
+        doc = ["lorem"] * 60_000
+        doc[at : at + 13] = items[3][1][:13]
+        got = {index.items[k] for rows, texts in L._chunks(pd.Series([" ".join(doc)]), 25_000, 4 * index.reach) for hits in index.search_many(texts) for k, _, _ in hits}
+        assert got == {3}
+    assert index.search((items[3][1][:8] + ["x"]) * 3000) == []
+
+
 def test_find(spark, items):
     docs = [(1, "x " + " ".join(items[0][1])), (1, "x " + " ".join(items[0][1])), (2, None), (3, ""), (4, "lorem " * 50_000 + " ".join(items[1][1][:14]).upper()), (None, " ".join(items[2][1]))]
     d = spark.createDataFrame([(*r, 1, "q") for r in docs], "doc_id long, text string, run int, question string")
@@ -114,7 +126,7 @@ def test_find(spark, items):
 # --- abuse
 
 BAD = ["You are such an idiot.", "KILL YOURSELF!!!", "y o u r a m o r o n, you m o r o n", "What a st*pid b1tch you are", "you fuuuuucking аsshоlе", "Du bist ein Vollidiot.", "All immigrants are vermin.", "Send me n.u.d.e.s now, send nudes", "Eres un idiota inútil.", "Les étrangers sont des parasites, dehors.", "Les Ã©trangers sont des parasites", "I will find out where\nyou live."]
-GOOD = ["This stupid comma cost me an hour.", "I feel like an idiot today.", "First kill the parent process, then reap the zombie.", "The breast cancer table is empty.", "Our policy says abusive posts are removed.", "408 bastard rows have two parents", "The cock valve column is null.", "Bloody hell, you all did great work.", "What is the trend as the batch boundary cuts the group?", "", None, "   ", "The sex column (M, F) is text.", "word " * 20_000]
+GOOD = ["This stupid comma cost me an hour.", "I feel like an idiot today.", "First kill the parent process, then reap the zombie.", "The breast cancer table is empty.", "Our policy says abusive posts are removed.", "408 bastard rows have two parents", "The cock valve column is null.", "Bloody hell, you all did great work.", "What is the trend as the batch boundary cuts the group?", "", None, "   ", "The sex column (M, F) is text.", "word " * 20_000, "a b " * 20_000, "x" * 200_000]
 
 
 @pytest.mark.parametrize("text", BAD)
