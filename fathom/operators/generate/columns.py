@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.expressions import compile_expression, compile_template, is_template
-from fathom.functions.rng import Rng
+from fathom.functions.rng import Rng, salt_of
 from fathom.operators.generate.distributions import distribution, zipf_cdf
 
 
@@ -185,15 +185,14 @@ def dictionary(ctx: Context, values: list = (), mode: str = "sample") -> Column:
     """Values of a list: sampled, or each in turn in a shuffled order with a number added once the list is used up (suffix)."""
     if mode == "sample":
         return ctx.rng.pick(list(values), ctx.name)
-    order = sorted(values, key=lambda v: Rng_salt(ctx, v))
+    order = sorted(values, key=lambda v: salt(ctx, v))
     base = F.element_at(F.array(*[F.lit(v) for v in order]), (ctx.row % len(order) + 1).cast("int"))
     lap = F.floor(ctx.row / len(order)).cast("long")
     return base if mode == "shuffle" else F.when(lap == 0, base).otherwise(F.concat(base, F.lit("_"), lap.cast("string")))
 
 
-def Rng_salt(ctx: Context, value: object) -> int:  # noqa: N802
-    from fathom.functions.rng import salt_of
-
+def salt(ctx: Context, value: object) -> int:
+    """A number of the column's own for a value."""
     return salt_of(ctx.seed, ctx.entity, ctx.name, value)
 
 
@@ -203,10 +202,10 @@ def unique_int(ctx: Context, low: int = 1, high: int = 1_000_000) -> Column:
     span = high - low + 1
     if ctx.rows > span:
         raise ValueError("more rows than different values")
-    a = Rng_salt(ctx, "a") % span or 1
+    a = salt(ctx, "a") % span or 1
     while math.gcd(a, span) != 1:
         a += 1
-    b = Rng_salt(ctx, "b") % span
+    b = salt(ctx, "b") % span
     return (F.pmod(ctx.row.cast("decimal(38,0)") * a + b, F.lit(span).cast("decimal(38,0)")) + low).cast("long")
 
 

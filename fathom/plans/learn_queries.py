@@ -282,7 +282,40 @@ def _fk_sql() -> str:
     )
 
 
+
+def _types_sql() -> str:
+    src = "(select cast(CustomerId as varchar) id_text, strftime(created_at, '%Y-%m-%d') day_text, Email, Country, LastName from customers)"
+    out = []
+    for c in ("id_text", "day_text", "Email", "Country", "LastName"):
+        rate = lambda p, c=c: f"avg(regexp_matches(trim({c}), '{p}')::int)"
+        tests = [("email", rate(profile.PATTERNS["email"]), 0.95), ("url", rate(profile.PATTERNS["url"]), 0.95), ("integer", rate("^[+-]?[0-9]+$"), 0.95), ("float", rate(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), 0.95), ("bool", f"avg((lower(trim({c})) in ('true', 'false', 'yes', 'no', 't', 'f', 'y', 'n'))::int)", 0.95), ("uuid", rate(profile.PATTERNS["uuid"]), 0.95), ("date", rate(profile.PATTERNS["date"]), 0.90)]
+        cases = " ".join(f"when {e} >= {least} then '{k}'" for k, e, least in tests)
+        out.append(f"select '{c}' column_name, case {cases} when count(distinct {c}) <= case when count({c}) <= 50 then 0.8 when count({c}) <= 200 then 0.5 else 0.05 end * count({c}) then 'category' else 'text' end inferred from {src} where {c} <> ''")
+    return " union all ".join(out)
+
+
+def _traits_sql() -> str:
+    out = []
+    for c in NUMBERS:
+        at = lambda p, c=c: f"list_sort(list(cast({c} as double)))[cast(floor({p} * (count({c}) - 1) / 100.0 + 0.5) as bigint) + 1]"
+        ratio = f"count(distinct {c}) / count({c})"
+        out.append(f"select '{c}' column_name, case when {ratio} >= 0.99 then 'unique' when {ratio} >= 0.3 then 'high' when {ratio} >= 0.01 then 'medium' else 'low' end cardinality, case when skewness({c}) > 0.5 then 'right_skewed' when skewness({c}) < -0.5 then 'left_skewed' when kurtosis({c}) > 3 then 'heavy_tailed' when kurtosis({c}) < -1 and ({at(90)} - {at(10)}) / (max({c}) - min({c})) > 0.7 then 'flat' when abs(kurtosis({c})) <= 1 then 'bell' else 'other' end shape from lineitem")
+    return " union all ".join(out)
+
+
+_GRAPH_SQL = (
+    "with e as (select cast(c_nationkey as varchar) src, cast(s_nationkey as varchar) dst, count(*) n from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey join customer on o_custkey = c_custkey where l_quantity >= 48 group by 1, 2),"
+    " d as (select node, sum(n) k from (select src node, n from e union all select dst, n from e) group by 1),"
+    " near as (select src, dst from (select src, dst, row_number() over (partition by src order by dst) r from e where src <> dst and src in (select distinct src from e order by src limit 100)) where r <= 20),"
+    " p as (select a.src, exists (select 1 from e where (e.src = a.dst and e.dst = b.dst) or (e.src = b.dst and e.dst = a.dst)) closed from near a join near b on a.src = b.src and a.dst < b.dst),"
+    " m as (select (select count(*) from d) nodes, (select count(*) from e) edges, (select avg(k) from d) mean_degree, (select stddev_pop(k) / avg(k) from d) cv, (select count(*) from e where exists (select 1 from e b where b.src = e.dst and b.dst = e.src)) / (select count(*) from e) reciprocity, coalesce((select avg(closed::int) from p), 0) clustering)"
+    " select nodes, edges, round(mean_degree, 6) mean_degree, round(cv, 6) degree_cv, round(reciprocity, 6) reciprocity, round(clustering, 6) clustering, case when reciprocity < 0.2 and cv > 1 then 'hierarchical' when cv > 1.5 then 'scale_free' when clustering > 0.3 and reciprocity > 0.3 then 'small_world' when cv < 0.5 and reciprocity > 0.4 then 'erdos_renyi' else 'custom' end as class from m"
+)
+
 SQL = {
+    "learn_types": _types_sql(),
+    "learn_traits": _traits_sql(),
+    "learn_graph": _GRAPH_SQL,
     "learn_numeric_profile": _profile_sql(),
     "learn_column_counts": _counts_sql(),
     "learn_text_profile": _text_sql(),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -389,6 +390,25 @@ _PAIRS = [(a, b) for i, a in enumerate(("l_quantity", "l_extendedprice", "l_disc
 _DAYS, _BY = pseudonymize.day_shift(17), pseudonymize.number_shift(17)
 _PRICE = f"case when {uniform_sql(42, 'sale', 'r', 'price', 'null')} >= 0.1 then round(5.0 + {uniform_sql(42, 'sale', 'r', 'price', 'uniform')} * 195.0, 2) end"
 
+
+def _lengths_sql() -> str:
+    a, b = ("(select length(LastName) v from customers where Country = 'Jeinia' and LastName is not null)", "(select length(LastName) v from customers where Country <> 'Jeinia' and LastName is not null)")
+    ks = f"(select max(abs(x / nx - y / ny)) from (select sum(i) over (order by v range unbounded preceding) x, sum(j) over (order by v range unbounded preceding) y, sum(i) over () nx, sum(j) over () ny from (select v, 1 i, 0 j from {a} union all select v, 0, 1 from {b})))"
+    at = lambda s, p: f"(select list_sort(list(v))[cast(floor({p} * (count(*) - 1) / 100.0 + 0.5) as bigint) + 1]::double from {s})"
+    return f"with p as (select {at(a, 2)} a, {at(a, 98)} b, {at(b, 2)} c, {at(b, 98)} d) select round(0.6 * (1 - {ks}) + 0.4 * case when b > a then greatest(0, least(1, greatest(0, least(b, d) - greatest(a, c)) / (b - a) - 1.5 * (greatest(0, a - c) + greatest(0, d - b)) / (b - a))) else (a = c)::int end, 6) score from p"
+
+
+def _unique_numbers() -> tuple[int, int]:
+    """The step and shift of gen_unique's bijection."""
+    ctx = columns.Context(7, "draws", "id", 50_000, row=None)
+    a = columns.salt(ctx, "a") % 60_000 or 1
+    while math.gcd(a, 60_000) != 1:
+        a += 1
+    return a, columns.salt(ctx, "b") % 60_000
+
+
+_UNIQUE = _unique_numbers()
+
 SQL = {
     "gen_shop": f"select 100 + 2 * r id, {_pattern_sql()} code, substr({_UUID}, 1, 8) || '-' || substr({_UUID}, 9, 4) || '-4' || substr({_UUID}, 14, 3) || '-' || substr('89ab', cast(('0x' || substr({_UUID}, 17, 1)) as bigint) % 4 + 1, 1) || substr({_UUID}, 18, 3) || '-' || substr({_UUID}, 21, 12) uid, case when {_WEIGHTED} < 0.1 then 'gold' when {_WEIGHTED} < 0.4 then 'silver' else 'bronze' end tier, ['a', 'b', 'c'][r % 3 + 1] slot from range(500) t(r)",
     "gen_sale": f"with a as (select r + 1 id, 100 + 2 * {integer_sql(0, 499, 42, 'sale', 'r', 'shop_id')} shop_id, 100 + 2 * (r % 500) turn, cast(round(1.0 + {uniform_sql(42, 'sale', 'r', 'quantity', 'uniform')} * 8.0) as bigint) quantity, {_PRICE} price from range(20000) t(r)) select *, round(floor(quantity * price * 100.0 + 0.5) / 100.0, 2) total, case when quantity > 5 then 'big' else 'small' end size from a",
@@ -421,6 +441,10 @@ SQL = {
     "score_range": f"with p as (select {_P(_F, 2)} a, {_P(_F, 98)} b, {_P(_O, 2)} c, {_P(_O, 98)} d) select round(greatest(0, least(1, greatest(0, least(b, d) - greatest(a, c)) / (b - a) - 1.5 * (greatest(0, a - c) + greatest(0, d - b)) / (b - a))), 6) score from p",
     "score_correlation": "select round(1 - avg(x), 6) score from (" + " union all ".join(f"select abs((select corr({a}, {b}) from {_F}) - (select corr({a}, {b}) from {_O})) x" for a, b in _PAIRS) + ")",
     "score_fk": "select round(count(*) filter (customer_id in (select CustomerId from customers)) / count(customer_id), 9) score from requests",
+    "score_lengths": _lengths_sql(),
+    "enrich_mapping": "select l as \"left\", r as \"right\", round(n, 6) name_score, t type_score, round(0.7 * n + 0.3 * t, 6) score from (select l, r, cast(t as double) t, case when a = b then 1.0 else 1 - levenshtein(a, b) / greatest(length(a), length(b)) end n from (values ('qty', 'quantity', 'quantity', 'quantity', 0.7), ('qty', 'quantity', 'customerName', 'customer_name', 0), ('qty', 'quantity', 'address', 'address', 0), ('cust_name', 'customer_name', 'quantity', 'quantity', 0), ('cust_name', 'customer_name', 'customerName', 'customer_name', 1), ('cust_name', 'customer_name', 'address', 'address', 1)) v(l, a, r, b, t))",
+    "sink_sql": "select 'BEGIN;' as \"value\" union all select 'INSERT INTO nation (n_nationkey, n_name, n_regionkey) VALUES' || chr(10) || string_agg('(' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''', ' || n_regionkey || ')', ',' || chr(10) order by n_nationkey) || ';' from nation union all select 'COMMIT;'",
+    "gen_unique": f"select r as row, cast((r::hugeint * {_UNIQUE[0]} + {_UNIQUE[1]}) % 60000 + 1 as bigint) id from range(50000) t(r)",
     "scale_dimensions": "select * from (values ('region', 'dimension', (select count(*) from region), cast(null as double)), ('nation', case when (select count(*) from nation) <= 20 or (select count(*) from nation) / (select count(*) from customer) < 0.1 then 'dimension' else 'fixed' end, (select count(*) from nation), null), ('customer', 'actor', (select count(*) from customer), null), ('orders', 'dependent', (select count(*) from orders), (select count(*) from orders) / (select count(*) from customer))) t(table_name, kind, \"rows\", ratio)",
     "scale_plan": "select n as table_name, k as \"rows\", cast(round(k * f) as bigint) planned from (select 'nation' n, count(*) k, 1.0::double f from nation union all select 'customer', count(*), 2.5 from customer union all select 'orders', count(*), 3.0 from orders union all select 'events', count(*), 3.0 from events)",
     "scale_cadence": "select g as \"days\", count(*) n from (select datediff('day', lag(d) over (order by d), d) g from (select distinct o_orderdate::date d from orders)) where g is not null group by 1",
