@@ -5,20 +5,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fathom.operators.relational import row_index
+from fathom.operators.relational import lagged, row_index
 
 CHI_WEEKDAYS, CHI_HOURS = 12.592, 35.172
 
 
 def sort_order(df: DataFrame, order: list[str], column: str) -> DataFrame:
     """(column_name, pairs, direction): whether a column rises or falls along an order. Ties count as both."""
-    indexed = row_index(df.select(*dict.fromkeys([*order, column])), order, "__i")
-    # a neighbour is the row with the next index, so an equi-join takes the place of a global window
-    next_ = indexed.select((F.col("__i") - 1).alias("__i"), F.col(column).alias("__next"))
-    s = indexed.join(next_, "__i").where(F.col(column).isNotNull() & F.col("__next").isNotNull()).agg(F.count(F.lit(1)).alias("pairs"), F.bool_and(F.col("__next") >= F.col(column)).alias("up"), F.bool_and(F.col("__next") <= F.col(column)).alias("down"))
+    now, before = F.col(column), F.col("__before")
+    rows = lagged(df.select(*dict.fromkeys([*order, column])), [], order, column, "__before")
+    s = rows.where(now.isNotNull() & before.isNotNull()).agg(F.count(F.lit(1)).alias("pairs"), F.bool_and(now >= before).alias("up"), F.bool_and(now <= before).alias("down"))
     direction = F.when(F.col("pairs") < 2, "unknown").when(F.col("up"), "ascending").when(F.col("down"), "descending").otherwise("unsorted")
     return s.select(F.lit(column).alias("column_name"), "pairs", direction.alias("direction"))
 
@@ -78,9 +76,8 @@ def seasons(df: DataFrame, series: str, time: str, value: str) -> DataFrame:
 def interval_pattern(df: DataFrame, series: str, time: str) -> DataFrame:
     """(series, n, mean_gap, cv, pattern, confidence): gaps between consecutive times of each series; below a coefficient of variation of
     .05 they are a fixed interval."""
-    w = W.partitionBy(series).orderBy(time)
-    at = F.unix_millis(F.col(time).cast("timestamp")) / 1000.0
-    gaps = df.where(F.col(time).isNotNull()).select(F.col(series).alias("series"), (at - F.lag(at).over(w)).alias("gap"))
+    times = df.where(F.col(time).isNotNull()).select(F.col(series).alias("series"), (F.unix_millis(F.col(time).cast("timestamp")) / 1000.0).alias("at"))
+    gaps = lagged(times, ["series"], ["at"], "at", "before").select("series", (F.col("at") - F.col("before")).alias("gap"))
     s = gaps.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("gap") > 0, F.col("gap"))).alias("mean_gap"), F.stddev_pop(F.when(F.col("gap") > 0, F.col("gap"))).alias("sd"))
     cv = F.try_divide("sd", "mean_gap")
     fixed = F.col("n") >= 3

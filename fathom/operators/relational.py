@@ -20,25 +20,56 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def prefix_sums(df: DataFrame, order: list[str], value: Column, keys: list[str] = [], name: str = "upto") -> DataFrame:  # noqa: B006
-    """Add ``name``: the sum of ``value`` over this row and those before it by ``order`` within ``keys``.
+def _ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows range-partitioned by keys and order, with the partition's number in __ps_part. The checkpoint fixes the boundaries, which Spark
+    samples anew in every run. A key of any size is spread over as many partitions as its order allows."""
+    ranged = df.repartitionByRange(*[F.col(f"`{c}`").asc_nulls_first() for c in [*keys, *order]])
+    return checkpoint(ranged.withColumn("__ps_part", F.spark_partition_id()))
+
+
+def prefix_scan(df: DataFrame, order: list[str], value: Column, keys: list[str] = [], name: str = "upto", how: str = "sum") -> DataFrame:  # noqa: B006
+    """Add ``name``: the sum (or, with how="max", the maximum) of ``value`` over this row and those before it by ``order`` within ``keys``.
 
     ``order`` must not have ties across rows if results are to be exact per row; equal rows get consecutive sums.
     """
-    sort = [*keys, *order]
-    ranged = df.withColumn("__ps_value", value).repartitionByRange(*[F.col(f"`{c}`").asc_nulls_first() for c in sort])
-    ranged = checkpoint(ranged.withColumn("__ps_part", F.spark_partition_id()))
+    agg = {"sum": F.sum, "max": F.max}[how]
+    ranged = _ranged(df.withColumn("__ps_value", value), keys, order)
     here = W.partitionBy("__ps_part", *keys).orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order]).rowsBetween(W.unboundedPreceding, 0)
-    totals = ranged.groupBy("__ps_part", *keys).agg(F.sum("__ps_value").alias("__ps_total"))
+    totals = ranged.groupBy("__ps_part", *keys).agg(agg("__ps_value").alias("__ps_total"))
     before = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    # one row per partition and key that it holds: keys * partitions at most, and usually partitions + keys
-    lifted = totals.withColumn("__ps_offset", F.coalesce(F.sum("__ps_total").over(before.orderBy("__ps_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # one row per partition and key that it holds: usually no more than partitions + keys
+    lifted = totals.withColumn("__ps_offset", agg("__ps_total").over(before.orderBy("__ps_part").rowsBetween(W.unboundedPreceding, -1)))
     keyed = lifted.select(F.col("__ps_part").alias("__ps_part2"), "__ps_offset", *[F.col(f"`{k}`").alias(f"__ps_key{i}") for i, k in enumerate(keys)])
     match = F.col("__ps_part") == F.col("__ps_part2")
     for i, k in enumerate(keys):
         match &= F.col(f"`{k}`").eqNullSafe(F.col(f"__ps_key{i}"))
-    out = ranged.withColumn("__ps_sum", F.sum("__ps_value").over(here)).join(keyed, match)
-    return out.select(*df.columns, (F.col("__ps_sum") + F.col("__ps_offset")).alias(name))
+    out = ranged.withColumn("__ps_here", agg("__ps_value").over(here)).join(keyed, match)
+    total = F.col("__ps_here") + F.coalesce(F.col("__ps_offset"), F.lit(0)) if how == "sum" else F.greatest("__ps_here", "__ps_offset")
+    return out.select(*df.columns, total.alias(name))
+
+
+def prefix_sums(df: DataFrame, order: list[str], value: Column, keys: list[str] = [], name: str = "upto") -> DataFrame:  # noqa: B006
+    """prefix_scan with sums."""
+    return prefix_scan(df, order, value, keys, name)
+
+
+def lagged(df: DataFrame, keys: list[str], order: list[str], column: str, name: str = "previous") -> DataFrame:
+    """Add ``name``: the value of ``column`` on the row before by ``order`` within ``keys``; null on the first.
+
+    Where a partition begins within a key, the value comes from the last row of the partition before that holds the key, so a key
+    that holds a third of all rows is not gathered in one task.
+    """
+    ranged = _ranged(df, keys, order)
+    sort = [F.col(f"`{c}`").asc_nulls_first() for c in order]
+    here = W.partitionBy("__ps_part", *keys).orderBy(*sort)
+    ends = ranged.groupBy("__ps_part", *keys).agg(F.max_by(F.struct(F.col(f"`{column}`").alias("v")), F.struct(*[F.col(f"`{c}`") for c in order])).alias("__ps_last"))
+    before = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy("__ps_part")
+    carried = ends.select(F.col("__ps_part").alias("__ps_part2"), F.lag("__ps_last").over(before).getField("v").alias("__ps_carry"), *[F.col(f"`{k}`").alias(f"__ps_key{i}") for i, k in enumerate(keys)])
+    match = F.col("__ps_part") == F.col("__ps_part2")
+    for i, k in enumerate(keys):
+        match &= F.col(f"`{k}`").eqNullSafe(F.col(f"__ps_key{i}"))
+    rows = ranged.withColumn("__ps_n", F.row_number().over(here)).withColumn("__ps_lag", F.lag(f"`{column}`").over(here)).join(carried, match)
+    return rows.select(*df.columns, F.when(F.col("__ps_n") > 1, F.col("__ps_lag")).otherwise(F.col("__ps_carry")).alias(name))
 
 
 def row_index(df: DataFrame, order: list[str], name: str = "row_index") -> DataFrame:
@@ -78,12 +109,13 @@ def causal_join(child: DataFrame, key: str, time: str, parent: DataFrame, parent
 
 
 def enforce_gap(df: DataFrame, actor: str, time: str, gap_ms: int, tie: list[str] = []) -> DataFrame:  # noqa: B006
-    """Times moved so that consecutive rows of an actor are at least ``gap_ms`` apart: t' = max(t, previous t' + gap)."""
-    w = W.partitionBy(actor).orderBy(time, *tie)
-    at = F.unix_millis(F.col(time).cast("timestamp")) - F.lit(gap_ms) * F.row_number().over(w)
-    moved = df.withColumn("__at", at).withColumn("__n", F.row_number().over(w))
-    top = F.max("__at").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return moved.withColumn(time, F.timestamp_millis(top + F.lit(gap_ms) * F.col("__n"))).drop("__at", "__n")
+    """Times moved so that consecutive rows of an actor are at least ``gap_ms`` apart: t' = max(t, previous t' + gap), which is the running
+    maximum of t - gap * n, plus gap * n. Both are distributed scans, so an actor may hold any share of the rows."""
+    numbered = prefix_sums(df, [time, *tie], F.lit(1).cast("long"), [actor], "__gap_n")
+    at = F.unix_millis(F.col(time).cast("timestamp")) - F.lit(gap_ms) * F.col("__gap_n")
+    top = prefix_scan(numbered, ["__gap_n"], at, [actor], "__gap_top", "max")
+    moved = F.timestamp_millis(F.col("__gap_top") + F.lit(gap_ms) * F.col("__gap_n"))
+    return top.withColumn(time, moved).select(*df.columns)
 
 
 def sample_rows(df: DataFrame, n: int, key: list[str], seed: int = 0) -> DataFrame:

@@ -173,7 +173,7 @@ def learn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph of nations that trade with each other."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    trade = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).where("l_quantity >= 48")
+    trade = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
     return _rounded(behavior.graph_metrics(behavior.edges(trade, "c_nationkey", "s_nationkey")))
 
 
@@ -304,7 +304,7 @@ def _traits_sql() -> str:
 
 
 _GRAPH_SQL = (
-    "with e as (select cast(c_nationkey as varchar) src, cast(s_nationkey as varchar) dst, count(*) n from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey join customer on o_custkey = c_custkey where l_quantity >= 48 group by 1, 2),"
+    "with e as (select cast(c_nationkey as varchar) src, cast(s_nationkey as varchar) dst, count(*) n from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey join customer on o_custkey = c_custkey group by 1, 2),"
     " d as (select node, sum(n) k from (select src node, n from e union all select dst, n from e) group by 1),"
     " near as (select src, dst from (select src, dst, row_number() over (partition by src order by dst) r from e where src <> dst and src in (select distinct src from e order by src limit 100)) where r <= 20),"
     " p as (select a.src, exists (select 1 from e where (e.src = a.dst and e.dst = b.dst) or (e.src = b.dst and e.dst = a.dst)) closed from near a join near b on a.src = b.src and a.dst < b.dst),"

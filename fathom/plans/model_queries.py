@@ -320,7 +320,7 @@ def sink_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sink_csv_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda x: (x * 100).cast("int")).alias("head"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x * 100).cast("int")).alias("scaled"))
     return sinks.flattened(e)
 
 
@@ -450,6 +450,6 @@ SQL = {
     "scale_cadence": "select g as \"days\", count(*) n from (select datediff('day', lag(d) over (order by d), d) g from (select distinct o_orderdate::date d from orders)) where g is not null group by 1",
     "scale_size": "select count(*) as \"rows\", round(20.0 + avg(length(c_name)) + avg(length(c_mktsegment)), 6) bytes_per_row, round(count(*) * (20.0 + avg(length(c_name)) + avg(length(c_mktsegment))), 3) bytes from customer",
     "sink_template": "select lpad(cast(n_nationkey as varchar), 4, ' ') || ': ' || lower(n_name) as \"value\" from nation",
-    "sink_csv_flat": "select vec_id, '[' || cast(trunc(embedding[1] * 100::float) as int) || ',' || cast(trunc(embedding[2] * 100::float) as int) || ']' head from embeddings",
+    "sink_csv_flat": "select vec_id, '[' || array_to_string(list_transform(embedding, lambda x: cast(trunc(x * 100::float) as int)), ',') || ']' scaled from embeddings",
     "scan_companion": "select cast(o_orderkey as varchar) o_orderkey, case o_orderstatus when 'F' then 'finished' when 'O' then 'open' else o_orderstatus end o_orderstatus from orders",
 }

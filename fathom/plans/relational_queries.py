@@ -52,12 +52,9 @@ def rel_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rel_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seconds since the previous event of a user."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    at = F.unix_millis(F.col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").select("event_id", (at - F.lag(at).over(w)).alias("delta_ms"))
+    """Milliseconds since the previous event of a user."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return R.lagged(e, ["user_id"], ["ts", "event_id"], "at", "before").select("event_id", (F.col("at") - F.col("before")).alias("delta_ms"))
 
 
 def rel_average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +78,8 @@ def rel_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rel_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with copies of some of them appended."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return p.unionByName(p.where(F.col("p_partkey") % 10 == 0))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    return p.unionByName(p.where("p_size >= 45"))
 
 
 def rel_tv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +142,7 @@ SQL = {
     "rel_percentiles": " union all ".join(f"select '{c}' column_name, {', '.join(f'{_PERCENTILE.format(c=c, p=p)} p{p}' for p in (1, 25, 50, 75, 99))} from lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount")),
     "rel_histogram": "select user_id, count(*) filter (hour(ts) < 6) night, count(*) filter (hour(ts) between 6 and 11) morning, count(*) filter (hour(ts) between 12 and 17) afternoon, count(*) filter (hour(ts) >= 18) evening from events group by 1",
     "rel_first_seen": "select p_brand, min(p_partkey) first_seen from part group by 1",
-    "rel_duplicates": "select p_partkey, p_name from part union all select p_partkey, p_name from part where p_partkey % 10 = 0",
+    "rel_duplicates": "select p_partkey, p_name, p_size from part union all select p_partkey, p_name, p_size from part where p_size >= 45",
     "rel_tv": "with a as (select l_returnflag v, count(*) / (select count(*) from lineitem where l_linestatus = 'F') p from lineitem where l_linestatus = 'F' group by 1), b as (select l_returnflag v, count(*) / (select count(*) from lineitem where l_linestatus = 'O') q from lineitem where l_linestatus = 'O' group by 1) select round(1 - sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 9) similarity from a full join b using (v)",
     "rel_ks": "with v as (select c_acctbal v from customer union select s_acctbal from supplier) select round(max(abs((select count(*) from customer where c_acctbal <= v.v) / (select count(*) from customer) - (select count(*) from supplier where s_acctbal <= v.v) / (select count(*) from supplier))), 9) distance from v",
     "rel_set_ops": "with c as (select distinct c_nationkey nation from customer), s as (select distinct s_nationkey nation from supplier) select coalesce(c.nation, s.nation) nation, case when s.nation is null then 'customers' when c.nation is null then 'suppliers' else 'both' end side from c full join s on c.nation = s.nation",

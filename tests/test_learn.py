@@ -31,6 +31,23 @@ def test_ranks_prefix_sums_and_percentiles(spark):
     assert R.exact_percentiles(df.limit(0), ["v"], [50]).collect() == []
 
 
+def test_lag_and_scan_of_hot_keys(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["hot", "hot", "hot", "a", None]), i, rnd.choice([None, rnd.randrange(100)])) for i in range(400)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(3)
+    last, top, lag, best = {}, {}, {}, {}
+    for k, i, v in sorted(rows, key=lambda r: r[1]):
+        lag[i] = last.get(k)
+        last[k] = v
+        top[k] = max(x for x in (top.get(k), v, -1) if x is not None)
+        best[i] = top[k]
+    assert {r.i: r.previous for r in R.lagged(df, ["k"], ["i"], "v").collect()} == lag
+    got = R.prefix_scan(df, ["i"], F.coalesce("v", F.lit(-1)), ["k"], "m", "max").collect()
+    assert {r.i: r.m for r in got} == best
+    assert R.lagged(df.limit(0), ["k"], ["i"], "v").collect() == []
+
+
 def test_ks_and_tv(spark):
     a, b = [1, 2, 2, 3], [2, 3, 3, 9]
     d = R.ks_distance(*(spark.createDataFrame([(float(x),) for x in s], "v double") for s in (a, b)), "v").first().distance
