@@ -45,7 +45,7 @@ _QUANTILE_SETS = [("server_id",), ("status_code",), ("day",), ("server_id", "sta
 
 
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per server, status and day, each alone and together, combined from the counts of single loads."""
+    """Percentiles per server, status and day, each alone, together and overall; coarser groups add up the counts of finer ones."""
     loads = quantiles.bucket_counts(_by_day(spark, sf_dir), _MEASURES, _QUANTILE_GROUPS)
     counts = quantiles.combine_sets(loads, _QUANTILE_GROUPS, _QUANTILE_SETS)
     out = quantiles.percentiles(counts, ["grouping", *_QUANTILE_GROUPS])
