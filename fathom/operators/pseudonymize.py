@@ -40,15 +40,17 @@ def shape(value: Column) -> Column:
 
 
 def token(value: Column, seed: int, attempt: int) -> Column:
-    """A text of the same shape, made from 60 bits of MD5 per character."""
-    chars = F.split(value, "")
-
-    def one(ch: Column, i: Column) -> Column:
-        n = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(attempt)), i.cast("string"), value)), 1, 15), 16, 10).cast("long")
-        pick = lambda letters: F.substring(F.lit(letters), (n % len(letters) + 1).cast("int"), F.lit(1))
+    """A text of the same shape. Each character takes 12 bits of MD5 digests of the value, ten characters to a digest."""
+    blocks = F.sequence(F.lit(0), F.floor(F.char_length(value) / 10).cast("int"))
+    digest = F.array_join(F.transform(blocks, lambda b: F.md5(F.concat_ws("|", F.lit(f"{seed}|{attempt}"), b.cast("string"), value))), "")
+    bits = F.slice(F.regexp_extract_all(digest, F.lit("([0-9a-f]{3})"), F.lit(1)), F.lit(1), F.char_length(value))
+
+    def one(ch: Column, piece: Column) -> Column:
+        n = F.conv(piece, 16, 10).cast("int")
+        pick = lambda letters: F.substring(F.lit(letters), n % len(letters) + 1, F.lit(1))
         return F.when(ch.rlike("^[A-Z]$"), pick(UPPER)).when(ch.rlike("^[a-z]$"), pick(LOWER)).when(ch.rlike("^[0-9]$"), pick(DIGITS)).otherwise(ch)
 
-    return F.array_join(F.transform(chars, one), "")
+    return F.array_join(F.zip_with(F.split(value, ""), bits, one), "")
 
 
 def distinct_values(frames: list[tuple[DataFrame, list[str]]], **options) -> DataFrame:

@@ -28,18 +28,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for reliable checkpoints, set up on first use.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in a local
-    test session, a temporary folder of this machine is used.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in a local test session, a temporary folder of this
+    machine is used.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix=f"fathom-checkpoint-{os.getpid()}-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager)
