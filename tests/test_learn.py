@@ -162,3 +162,25 @@ def test_state_is_mergeable_and_idempotent(spark):
     assert abs(r - np.corrcoef(*zip(*pair, strict=True))[0, 1]) < 1e-9
     assert state.widened(["int", "double"]) == "double" and state.widened(["int", "string"]) == "string"
     assert state.coverage(parts, ("t", "k"), ("t", "k"), 1.0).first().kept
+
+
+def test_learned_model_generates_its_like(spark):
+    from fathom.operators import blueprint
+    from fathom.operators.generate import engine
+    from fathom.operators.learn import assemble
+
+    rnd = random.Random(5)
+    parent = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(60)], "id long, grade string")
+    child = spark.createDataFrame([(i, rnd.randrange(60), rnd.gauss(100, 15), None if rnd.random() < 0.3 else f"a{i}@x.org", [1]) for i in range(3000)], "id long, parent_id long, score double, mail string, tags array<long>")
+    links = [{"name": "l", "from_table": "child", "foreign_key": "parent_id", "to_table": "parent", "to_column": "id"}]
+    m = assemble.learn_model({"parent": parent, "child": child}, {"parent": "id", "child": "id"}, links)
+    assert blueprint.validate(m) == []
+    kinds = {f: s["generator"]["type"] for f, s in m["tables"]["child"]["fields"].items()}
+    assert kinds == {"id": "sequence", "parent_id": "fk", "score": "distribution", "mail": "faker"} and m["tables"]["child"]["fields"]["score"]["generator"]["family"] == "normal"
+    t = engine.generate(spark, m)
+    assert t["child"].count() == 3000 and R.overlap(t["child"], "parent_id", t["parent"], "id").first().overlap == 1
+    s = t["child"].agg(F.avg("score"), F.stddev("score"), F.avg(F.col("mail").isNull().cast("int"))).first()
+    assert abs(s[0] - 100) < 2 and abs(s[1] - 15) < 1.5 and abs(s[2] - 0.3) < 0.05
+    assert assemble.geographic(["city", "x", "zip_code"]) == ["city", "zip_code"] and assemble.geographic(["city"]) == []
+    empty = assemble.learn_table(parent.limit(0), "id")
+    assert empty["count"] == 0
