@@ -11,7 +11,7 @@ allows, and each pattern exhausts a length or nearly so, so the number of patter
 
 Pieces are matched to the plan by their rank within their length. Ranks come from counts per (length, hash slice) and row
 numbers within slices, so a length that a third of all pieces share is spread over many tasks. Nothing but the histogram
-reaches the driver, and only the plan is broadcast, whose size the capacity bounds.
+reaches the driver, and only the plan is sent to the tasks, whose size the capacity bounds.
 
 Defined cases: null texts are no texts and get no container (piece 0, tokens 0). Empty and other texts of no tokens take no space and
 go to container 0. Repeated rows are packed each. An empty table gives no rows. The result depends on the rows only, not
@@ -137,7 +137,8 @@ def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     arrays = {k: tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) for k, rows in table.items()}
     shared = counts.sparkSession.sparkContext.broadcast(arrays)
     before = W.partitionBy("tokens").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = F.broadcast(per_slice.select("tokens", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))  # at most capacity * SLICES rows
+    # at most capacity * SLICES rows; the pieces are partitioned by these keys already, so the join moves only this side
+    offsets = per_slice.select("tokens", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     ranked = sized.withColumn("rn", F.row_number().over(W.partitionBy("tokens", "slice").orderBy("doc_id", "piece")) - 1).join(offsets, ["tokens", "slice"])
     ranked = ranked.select("doc_id", "piece", "pieces", "start", "tokens", (F.col("rn") + F.col("offset")).alias("rank"))
 
