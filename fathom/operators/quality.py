@@ -18,10 +18,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.functions.buckets import bucket_of, bucket_sql, value_of, value_sql
+from fathom.session import checkpoint
 
 # Character classes, in the order applied; the last makes one class of letters mixed with digits, such as hex ids.
 MASK_STEPS = ((r"[0-9]+", "9"), (r"[A-Z]+", "A"), (r"[a-z]+", "a"), (r"[^\x00-\x7F]+", "u"), (r"[ \t\r\n]+", " "), (r"[Aa9]{4,}", "w"))
@@ -89,7 +91,8 @@ def mask_rates(masks: DataFrame) -> DataFrame:
 def mask_report(masks: DataFrame, rare: float = 0.005) -> DataFrame:
     """(column_name, load_id, mask, n, share, share_all, is_rare) of non-null, non-empty values: a mask that makes up less than
     ``rare`` of its column over all loads is rare, and its rows are violations."""
-    full = masks.where("mask is not null and mask <> ''")
+    # used four times; as a table its size follows the number of masks, so the values are read once
+    full = checkpoint(masks.where("mask is not null and mask <> ''"))
     per_load = full.groupBy("column_name", "load_id").agg(F.sum("n").alias("load_n"))
     over_all = full.groupBy("column_name", "mask").agg(F.sum("n").alias("mask_n"))
     column_n = full.groupBy("column_name").agg(F.sum("n").alias("column_n"))
@@ -125,8 +128,6 @@ def bucket_medians(df: DataFrame, load: str, columns: list[str], relative_error:
     cells = [F.struct(F.lit(c).alias("column_name"), bucket_of(F.col(f"`{c}`"), relative_error).alias("b")) for c in columns]
     long = df.select(F.col(f"`{load}`").alias("load_id"), F.explode(F.array(*cells)).alias("cell")).select("load_id", "cell.*").where("b is not null")
     counts = long.groupBy("load_id", "column_name", "b").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window as W
-
     part = W.partitionBy("load_id", "column_name")
     ranked = counts.select("*", F.sum("n").over(part.orderBy("b").rowsBetween(W.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(part).alias("total"))
     hit = ranked.groupBy("load_id", "column_name").agg(F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("b"))).alias("b"))
