@@ -89,17 +89,19 @@ def mask_rates(masks: DataFrame) -> DataFrame:
 
 
 def mask_report(masks: DataFrame, rare: float = 0.005) -> DataFrame:
-    """(column_name, load_id, mask, n, share, share_all, is_rare) of non-null, non-empty values: a mask that makes up less than
-    ``rare`` of its column over all loads is rare, and its rows are violations."""
+    """(column_name, load_id, mask, n, share, share_all, is_dominant, is_rare) of non-null, non-empty values: the mask with the most
+    rows of its column and load is dominant (of equals, all); a mask that makes up less than ``rare`` of its column over all loads is
+    rare, and its rows are violations."""
     # used four times; as a table its size follows the number of masks, so the values are read once
     full = checkpoint(masks.where("mask is not null and mask <> ''"))
-    per_load = full.groupBy("column_name", "load_id").agg(F.sum("n").alias("load_n"))
+    per_load = full.groupBy(F.col("column_name").alias("c_"), F.col("load_id").alias("l_")).agg(F.sum("n").alias("load_n"), F.max("n").alias("top_n"))
     over_all = full.groupBy("column_name", "mask").agg(F.sum("n").alias("mask_n"))
     column_n = full.groupBy("column_name").agg(F.sum("n").alias("column_n"))
     return (
-        full.join(per_load, ["column_name", "load_id"])
+        full.join(per_load, (F.col("column_name") == F.col("c_")) & F.col("load_id").eqNullSafe(F.col("l_")))
+        .drop("c_", "l_")
         .join(over_all.join(column_n, "column_name"), ["column_name", "mask"])
-        .select("column_name", "load_id", "mask", "n", (F.col("n") / F.col("load_n")).alias("share"), (F.col("mask_n") / F.col("column_n")).alias("share_all"), (F.col("mask_n") < F.lit(rare) * F.col("column_n")).alias("is_rare"))
+        .select("column_name", "load_id", "mask", "n", (F.col("n") / F.col("load_n")).alias("share"), (F.col("mask_n") / F.col("column_n")).alias("share_all"), (F.col("n") == F.col("top_n")).alias("is_dominant"), (F.col("mask_n") < F.lit(rare) * F.col("column_n")).alias("is_rare"))
     )
 
 

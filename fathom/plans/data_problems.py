@@ -102,19 +102,33 @@ def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_MASKED = {"requests": ["client_id", "method", "path", "user_agent"], "customers": ["FirstName", "LastName", "Company", "City", "Country", "PostalCode", "Phone", "Email"]}
+def _masks(df: DataFrame) -> DataFrame:
+    """Rows per mask of every column but the load."""
+    return quality.mask_counts(df, "load_id", [c for c in df.columns if c != "load_id"])
 
 
 def p4_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rare masks and mask divergence per column and load."""
     out = None
-    for name, columns in _MASKED.items():
-        counts = quality.mask_counts(table(spark, sf_dir, name), "load_id", columns)
-        got = quality.mask_divergence(counts).select(F.lit(name).alias("table_name"), "column_name", "load_id", "values", "rare_rows", F.round("divergence", 6).alias("divergence"))
+    for name in PROFILED:
+        got = quality.mask_divergence(_masks(table(spark, sf_dir, name))).select(F.lit(name).alias("table_name"), "column_name", "load_id", "values", "rare_rows", F.round("divergence", 6).alias("divergence"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def p4_mask_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All masks of each column and load with their rows, told apart as dominant, rare (whose rows are violations) or neither."""
+    out = None
+    for name in PROFILED:
+        got = quality.mask_report(_masks(table(spark, sf_dir, name)))
+        got = got.select(F.lit(name).alias("table_name"), "column_name", "load_id", "mask", "n", F.round("share", 6).alias("share"), F.round("share_all", 6).alias("share_all"), "is_dominant", "is_rare")
         out = got if out is None else out.unionByName(got)
     return out
 
 
+# The text columns of the two profiled tables.
+_MASKED = {"requests": ["client_id", "method", "path", "user_agent"], "customers": ["FirstName", "LastName", "Company", "City", "Country", "PostalCode", "Phone", "Email"]}
+
 # Columns of the two profiled tables, told apart as numbers, times and texts.
 _NUMBERS = {"requests": ["id", "server_id", "customer_id", "status_code", "response_time_ms", "bytes_sent"], "customers": ["CustomerId", "SupportRepId"]}
 _TIMES = {"requests": ["requested_at", "loaded_at"], "customers": ["created_at", "loaded_at", "deleted_at"]}
@@ -185,7 +199,7 @@ def _masks_sql() -> str:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_orphan_counts": p2_orphan_counts, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p4_found": p4_found, "p4_profile": p4_profile, "p4_masks": p4_masks}
+QUERIES = {"p2_found": p2_found, "p2_orphan_counts": p2_orphan_counts, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p4_found": p4_found, "p4_profile": p4_profile, "p4_masks": p4_masks, "p4_mask_report": p4_mask_report}
 
 SQL = {
     "p2_found": _orphan_sql("select distinct child_table, child_column, child_key from o"),

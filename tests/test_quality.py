@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.buckets import bucket_of, value_of
 from fathom.operators import quality as Q
+from fathom.plans import data_problems
 
 SCHEMA = "load_id int, name string, x double, k long, mask string, n long, rows long"
 
@@ -60,6 +61,24 @@ def test_divergence(spark):
     assert got == {1: (90, 0.1), 2: (90, 0.1), 3: (20, 0.9)}
 
 
+def test_mask_report_keeps_null_loads(spark):
+    rows = [(1, "ab", 0.5, 0)] * 300 + [(None, "ab", 0.5, 0)] * 7 + [(None, "12", -1.0, 0)]
+    counts = Q.mask_counts(frame(spark, rows), "load_id", ["name", "x"])
+    got = {(r.column_name, r.load_id, r.mask): (r.n, r.is_dominant, r.is_rare) for r in Q.mask_report(counts).collect()}
+    assert got == {("name", 1, "a"): (300, True, False), ("name", None, "a"): (7, True, False), ("name", None, "9"): (1, False, True), ("x", 1, "9.9"): (300, True, False), ("x", None, "9.9"): (7, True, False), ("x", None, "-9"): (1, False, True)}
+
+
+def test_masks_cover_every_column(spark, sf):
+    tables = {n: data_problems.table(spark, sf, n) for n in ("requests", "customers")}
+    want = {(n, c) for n, df in tables.items() for c in df.columns if c != "load_id" and df.where(F.col(c).isNotNull()).count()}
+    r = tables["requests"]
+    marked = r.where("response_time_ms < 0 and response_time_ms = floor(response_time_ms)").count()
+    masks, report = data_problems.p4_masks(spark, sf).collect(), data_problems.p4_mask_report(spark, sf).collect()
+    assert {(m.table_name, m.column_name) for m in masks} == {(m.table_name, m.column_name) for m in report} == want
+    assert marked and sum(m.n for m in report if m.column_name == "response_time_ms" and m.mask == "-9") == marked
+    assert sum(m.n for m in report if m.is_rare) == sum(m.rare_rows for m in masks)
+
+
 def test_buckets_keep_their_error(spark):
     values = [1e-300, -1e300, 3.7, -3.7, 0.0, 1.7976931348623157e308, float("inf"), None, float("nan"), 123456.789]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", value_of(bucket_of(F.col("v"), 0.01), 0.01)).collect()
