@@ -27,7 +27,7 @@ def p1_distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches per load, which distinct.merged combines."""
-    parts = distinct.partials(_by_day(spark, sf_dir), _IDENTIFIERS, _GROUPS, [(), ("day",), ("server_id",), ("method",)], always=["load_id"])
+    parts = distinct.partials(_by_day(spark, sf_dir), _IDENTIFIERS, _GROUPS, distinct.grouping_sets(_GROUPS), always=["load_id"])
     return distinct.merged(parts, ["load_id", "identifier", "grouping", *_GROUPS])
 
 

@@ -12,6 +12,7 @@ from fathom.llm import distinct as D
 from fathom.llm import frequent as Q
 from fathom.llm import packing as P
 from fathom.llm import quantiles as V
+from fathom.llm import queries as L
 
 # --- distinct counts
 
@@ -52,6 +53,15 @@ def test_partials_over_groups(spark):
     assert D.merged(empty, ["identifier", "grouping", "g"]).collect() == []
 
 
+def test_partials_of_loads_combine_to_all_counts(spark, sf):
+    keys = ["identifier", "grouping", "day", "server_id", "method"]
+    parts = L.p1_partials(spark, sf)
+    assert "load_id" in parts.columns and parts.select("load_id").distinct().count() > 1
+    got = D.counts(D.merged(parts, keys)).collect()
+    want = L.p1_distinct_counts(spark, sf).collect()
+    assert len({r.grouping for r in want}) == 8 and Counter(map(tuple, got)) == Counter(map(tuple, want))
+
+
 def test_large_identifiers_stay_exact(spark):
     df = spark.createDataFrame([(2**62 + i, None if i % 2 else 1) for i in range(100)], "k long, load int")
     got = D.counts(D.merged(D.partials(df, ["k"], [], [()], always=["load"]), ["identifier", "load"])).collect()
