@@ -45,17 +45,16 @@ _QUANTILE_SETS = [("server_id",), ("status_code",), ("day",), ("server_id", "sta
 
 
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per server, status and day, each alone, together and overall; coarser groups add up the counts of finer ones."""
-    loads = quantiles.bucket_counts(_by_day(spark, sf_dir), _MEASURES, _QUANTILE_GROUPS)
-    counts = quantiles.combine_sets(loads, _QUANTILE_GROUPS, _QUANTILE_SETS)
+    """Percentiles per server, status and day, each alone, together and overall, from the partial results of the loads."""
+    counts = quantiles.combine_sets(p5_partials(spark, sf_dir), _QUANTILE_GROUPS, _QUANTILE_SETS)
     out = quantiles.percentiles(counts, ["grouping", *_QUANTILE_GROUPS])
     ps = [f"p{p}" for p in quantiles.PERCENTILES]
     return out.select("grouping", *_QUANTILE_GROUPS, "column_name", "n", *[F.round(p, 6).alias(p) for p in ps], F.round("p50", 6).alias("median"), F.lit(quantiles.RELATIVE_ERROR).alias("relative_error"))
 
 
 def p5_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bucket counts per load, server and status."""
-    return quantiles.bucket_counts(_by_day(spark, sf_dir), _MEASURES, ["load_id", "server_id", "status_code"])
+    """Bucket counts per load, server, status and day, which quantiles.combine_sets adds up."""
+    return quantiles.bucket_counts(_by_day(spark, sf_dir), _MEASURES, ["load_id", *_QUANTILE_GROUPS])
 
 
 def _percentile_sql() -> str:

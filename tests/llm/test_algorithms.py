@@ -88,6 +88,26 @@ def test_percentiles_and_combination(spark):
     assert V.percentiles(V.bucket_counts(df.limit(0), ["x"], ["g"]), ["g"]).collect() == []
 
 
+def test_partials_of_loads_give_the_percentiles_of_days(spark, sf):
+    keys = ["server_id", "status_code", "day"]
+    rows = L._by_day(spark, sf).select(*keys, "load_id", *L._MEASURES).collect()
+    parts = L.p5_partials(spark, sf)
+    got = Counter()
+    for r in parts.collect():
+        got[tuple(r[k] for k in ("load_id", *keys, "column_name"))] += r.n
+    assert got == Counter((r.load_id, *[r[k] for k in keys], m) for r in rows for m in L._MEASURES if r[m] is not None)
+    days = {(r.day, r.column_name): r for r in V.percentiles(V.combine(parts, ["day"]), ["day"]).collect()}
+    values: dict = {}
+    for r in rows:
+        for m in L._MEASURES:
+            if r[m] is not None:
+                values.setdefault((r.day, m), []).append(r[m])
+    assert days.keys() == values.keys()
+    for k, vs in values.items():
+        exact = sorted(vs)[math.floor(50 * (len(vs) - 1) / 100 + 0.5)]
+        assert days[k].n == len(vs) and abs(days[k].p50 - exact) <= 0.0100001 * abs(exact)
+
+
 # --- frequent items
 
 
