@@ -28,8 +28,8 @@ def _stacked(df: DataFrame, columns: list[str], measures: dict[str, callable]) -
     return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
-def column_counts(df: DataFrame, columns: list[str], distinct_cap: int | None = 100_000) -> DataFrame:
-    """(column_name, rows, nulls, null_rate, empty_rate, distinct, cardinality_ratio); the distinct count is cut off at the cap."""
+def column_counts(df: DataFrame, columns: list[str], distinct_cap: int | None = None) -> DataFrame:
+    """(column_name, rows, nulls, null_rate, empty_rate, distinct, cardinality_ratio); the distinct count is cut off at the cap if one is given."""
     out = _stacked(
         df,
         columns,

@@ -19,6 +19,11 @@ def test_numeric_profile_matches_hand_computation(spark):
     assert got["b"].n == 0 and got["b"].mean is None and got["b"].p50 is None
 
 
+def test_distinct_counts_are_not_cut(spark):
+    r = profile.column_counts(spark.range(100_001), ["id"]).first()
+    assert r.distinct == r.rows == 100_001 and r.cardinality_ratio == 1.0
+
+
 def test_ranks_prefix_sums_and_percentiles(spark):
     rnd = random.Random(1)
     v = [rnd.choice([1, 2, 2, 3, 5, 8]) for _ in range(300)]
