@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.session import checkpoint
+
 
 def actor_score(column: str) -> float:
     """How likely a column names an actor."""
@@ -48,8 +50,6 @@ def segments(feature_rows: DataFrame, seed: int = 7) -> DataFrame:
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import VectorAssembler
 
-    from fathom.session import checkpoint
-
     marked = feature_rows.withColumn("__point", F.xxhash64(*[F.round(f"f{i}", 9) for i in range(33)]))
     rows = checkpoint(VectorAssembler(inputCols=[f"f{i}" for i in range(33)], outputCol="features").transform(marked).select("actor", "features", "__point"))
     n, points = rows.agg(F.count(F.lit(1)), F.count_distinct("__point")).first()
@@ -69,21 +69,36 @@ def edges(df: DataFrame, source: str, target: str) -> DataFrame:
     return df.where(F.col(source).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(source).cast("string").alias("src"), F.col(target).cast("string").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def graph_metrics(e: DataFrame, neighbours: int = 20, sources: int = 100) -> DataFrame:
+def _neighbour_pairs(e: DataFrame) -> DataFrame:
+    """One row (pairs, closed): the pairs of different out-neighbours of each node but itself, and those of them joined by an edge of
+    either direction. Pairs follow from the out-degrees. Closed ones are corners of triangles, which are listed from their corner of
+    least degree, so no node, a hub included, has more than sqrt(2 E) links to pair and pairs not closed are at most E sqrt(2 E)."""
+    arcs = e.where("src <> dst").select("src", "dst").distinct()
+    d = F.col("d").cast("double")
+    pairs = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("d")).agg(F.coalesce(F.sum(d * (d - 1) / 2), F.lit(0.0)).alias("pairs"))
+    links = arcs.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max((F.col("src") < F.col("dst")).cast("int")).alias("ab"), F.max((F.col("src") > F.col("dst")).cast("int")).alias("ba"))
+    links = checkpoint(links)  # used five times, at most one row per edge
+    reach = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
+    both = links.join(reach.select(F.col("node").alias("a"), F.col("deg").alias("da")), "a").join(reach.select(F.col("node").alias("b"), F.col("deg").alias("db")), "b")
+    up = F.struct(F.col("da").alias("k"), F.col("a").alias("v")) < F.struct(F.col("db").alias("k"), F.col("b").alias("v"))
+    pick = lambda x, y: F.when(up, F.col(x)).otherwise(F.col(y))
+    # from the end of lesser degree: there, back
+    sides = lambda v, there, back: both.select(pick("a", "b").alias("u"), pick("b", "a").alias(v), pick("ab", "ba").alias(there), pick("ba", "ab").alias(back))
+    wedges = sides("a", "ua", "au").join(sides("b", "ub", "bu"), "u").where("a < b")
+    corners = wedges.join(links, ["a", "b"]).agg(F.coalesce(F.sum(F.col("ua") * F.col("ub") + F.col("au") * F.col("ab") + F.col("bu") * F.col("ba")), F.lit(0)).alias("closed"))
+    return pairs.join(F.broadcast(corners))
+
+
+def graph_metrics(e: DataFrame) -> DataFrame:
     """One row of the graph's nodes, edges, mean degree, degree variation, reciprocity, clustering and class.
 
-    Clustering is defined as over the first ``sources`` source nodes and the first ``neighbours`` out-neighbours of each, by id, so its
-    cost is bounded by definition of the measure.
+    Clustering is the share of all pairs of out-neighbours, over all source nodes, that are joined by an edge; 0 without pairs.
     """
     degree = e.select(F.explode(F.array("src", "dst")).alias("node"), "n").groupBy("node").agg(F.sum("n").alias("degree"))
     d = degree.agg(F.count(F.lit(1)).alias("nodes"), F.avg("degree").alias("mean_degree"), F.stddev_pop("degree").alias("sd"))
     back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("hit"))
     r = e.join(back, ["src", "dst"], "left").agg(F.count(F.lit(1)).alias("edges"), F.try_divide(F.count("hit"), F.count(F.lit(1))).alias("reciprocity"))
-    few = e.select("src").distinct().orderBy("src").limit(sources)
-    near = e.join(F.broadcast(few), "src").where("src <> dst").groupBy("src").agg(F.slice(F.array_sort(F.collect_set("dst")), 1, neighbours).alias("near"))
-    pairs = near.select("src", F.explode("near").alias("a"), "near").select("src", "a", F.explode("near").alias("b")).where("a < b")
-    known = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.lit(1).alias("closed")).distinct()
-    c = pairs.join(known, ["a", "b"], "left").agg(F.coalesce(F.try_divide(F.count("closed"), F.count(F.lit(1))), F.lit(0.0)).alias("clustering"))
+    c = _neighbour_pairs(e).select(F.coalesce(F.try_divide(F.col("closed").cast("double"), "pairs"), F.lit(0.0)).alias("clustering"))
     cv, rec, cl = F.try_divide("sd", "mean_degree"), F.col("reciprocity"), F.col("clustering")
     kind = F.when((rec < 0.2) & (cv > 1), "hierarchical").when(cv > 1.5, "scale_free").when((cl > 0.3) & (rec > 0.3), "small_world").when((cv < 0.5) & (rec > 0.4), "erdos_renyi").otherwise("custom")
     return d.join(F.broadcast(r)).join(F.broadcast(c)).select("nodes", "edges", "mean_degree", cv.alias("degree_cv"), "reciprocity", "clustering", kind.alias("class"))

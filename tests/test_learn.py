@@ -153,6 +153,21 @@ def test_behavior(spark):
     assert behavior.actor_score("user_id") == 0.95 and behavior.actor_score("created_by") == 0.85 and behavior.actor_score("price") == 0
 
 
+def test_clustering_counts_all_sources_and_neighbours(spark):
+    rnd = random.Random(5)
+    arcs = {(str(rnd.randrange(150)), str(rnd.randrange(150))) for _ in range(1500)} | {("hub", str(i)) for i in range(150)} | {(str(i), "hub") for i in range(0, 150, 3)}
+    near: dict = {}
+    for a, b in arcs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+    pairs = [(a, b) for n in near.values() for a in n for b in n if a < b]
+    closed = sum((a, b) in arcs or (b, a) in arcs for a, b in pairs)
+    g = behavior.graph_metrics(spark.createDataFrame([(a, b, 1) for a, b in arcs], "src string, dst string, n long")).first()
+    assert g.edges == len(arcs) and abs(g.clustering - closed / len(pairs)) < 1e-12
+    loops = spark.createDataFrame([("a", "a", 1), ("a", "b", 1)], "src string, dst string, n long")
+    assert behavior.graph_metrics(loops).first().clustering == 0.0
+
+
 def test_state_is_mergeable_and_idempotent(spark):
     rnd = random.Random(1)
     rows = [(i % 4, rnd.gauss(5, 2) if rnd.random() < 0.9 else None, i % 10) for i in range(800)]
