@@ -11,7 +11,7 @@ and line breaks do not matter.
 2. Search. Fingerprints are cut into ``radius + 1`` blocks; two within the radius agree on a block at least, so looking up
    every block of a document window in a table of passage windows finds all of them. Nothing is capped or sampled.
 3. Verification. Documents and passages with at least ``seeds`` matched windows close together are compared word by word: the
-   longest common run, and the weighted share of a stretch's words kept in order, by alignment.
+   longest common run, and the share of a stretch's words kept in order, by alignment, each word counting alike.
 
 Passages are the stated query set. They are broadcast in blocks of at most ``BLOCK`` items, each of which meets all documents
 in one map pass; documents are never shuffled, only found pairs are. Document texts are processed whole.
@@ -160,7 +160,7 @@ class Passages:
     def compare(self, codes: np.ndarray, tokens: list[str], passage: int) -> float:
         """The greatest share that a region keeps of a long enough stretch of a passage."""
         b = self.coded[passage]
-        # exact weighted-shingle bound: the words both have, with multiplicity, can keep no more than this of a stretch
+        # exact bound: the words both have, with multiplicity, can keep no more than this of a stretch
         shared = sum((Counter(codes.tolist()) & Counter(b.tolist())).values())
         if shared < self.stretch - self.stretch // self.per_edit:
             return 0.0
