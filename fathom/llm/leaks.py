@@ -187,12 +187,15 @@ class Passages:
         return best
 
     def _stretch(self, a: np.ndarray, tokens: list[str], b: np.ndarray, passage: list[str]) -> float:
-        """The greatest share of untouched words over the long enough stretches of the best alignment."""
+        """The greatest share of untouched words over the long enough stretches of the alignments that end in a match and score what the
+        shortest qualifying stretch must, be they the best or not."""
+        # each edit may be a broken word, which takes two of the stretch's words
+        least = 2 * self.stretch - 5 * (self.stretch // self.per_edit)
         n, m = len(a), len(b)
         a, b = a.tolist(), b.tolist()
         score = [[0] * (m + 1) for _ in range(n + 1)]
         move = [[0] * (m + 1) for _ in range(n + 1)]  # 1 match, 2 change, 3 added word, 4 dropped word, 5 word broken in two
-        top, end = 0, (0, 0)
+        ends = []
         for i in range(1, n + 1):
             up, here, way, x = score[i - 1], score[i], move[i], a[i - 1]
             for j in range(1, m + 1):
@@ -209,15 +212,25 @@ class Passages:
                 if s <= 0:
                     s, w = 0, 0
                 here[j], way[j] = s, w
-                if s > top:
-                    top, end = s, (i, j)
-        steps, (i, j) = [], end
-        while move[i][j]:
-            w = move[i][j]
-            steps.append(w)
-            i -= {1: 1, 2: 1, 3: 1, 4: 0, 5: 2}[w]
-            j -= 0 if w == 3 else 1
-        steps.reverse()
+                if w == 1 and s >= least:
+                    ends.append((s, i, j))
+        best, seen = 0.0, set()
+        for _, i, j in sorted(ends, reverse=True):
+            if (i, j) in seen:  # the way to it is part of one measured already
+                continue
+            steps = []
+            while move[i][j]:
+                w = move[i][j]
+                steps.append(w)
+                seen.add((i, j))
+                i -= {1: 1, 2: 1, 3: 1, 4: 0, 5: 2}[w]
+                j -= 0 if w == 3 else 1
+            steps.reverse()
+            best = max(best, self._kept(steps))
+        return best
+
+    def _kept(self, steps: list[int]) -> float:
+        """The greatest share of untouched words over the long enough stretches of one alignment."""
         edits = np.cumsum([0] + [w != 1 for w in steps])
         mine = np.cumsum([0] + [w != 3 for w in steps])
         theirs = np.cumsum([0] + [(w != 4) + (w == 5) for w in steps])

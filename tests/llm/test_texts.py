@@ -77,6 +77,16 @@ def test_damaged_stretches_are_found(items, index):
         assert i in [index.items[k] for k, _, _ in index.search(doc)]
 
 
+def test_near_copy_beside_a_longer_loose_copy():
+    passage = [f"w{i}" for i in range(90)]
+    near = [f"x{i}" if i % 5 == 4 and i < 20 else w for i, w in enumerate(passage[60:84])]
+    loose = [f"y{i}" if i % 10 in (2, 5, 8) else w for i, w in enumerate(passage[:60])]
+    index = L.Passages([(1, "answer", " ".join(passage))])
+    for doc in (near, near + ["z"] * 5 + loose):
+        assert [k for k, _, _ in index.search(doc)] == [0]
+    assert index.search(loose) == []
+
+
 def test_too_much_damage_and_other_sentences(items, index):
     rnd = random.Random(10)
     for i, w in items:
