@@ -1,20 +1,24 @@
-"""Evaluation passages leaking into a corpus: SimHash of passage-sized windows, multi-index Hamming search, exact verification.
+"""Evaluation passages leaking into a corpus: SimHash of passage windows, multi-index Hamming search, exact verification.
 
 A document holds a passage when it shares ``run`` or more consecutive words with it, or a stretch of ``stretch`` or more words in
 which at most one in ``per_edit`` was changed, broken, dropped or added. Letter case, punctuation, markup, invisible characters
-and line breaks do not matter.
+and line breaks do not matter. The words of a stretch are those of the passage or of the document, whichever are more.
 
-1. Windows. A qualifying stretch of n words with n // per_edit edits is cut by them into runs of untouched words; the longest
-   has at least (n - e) / (e + 1) words, and that is least at n = ``stretch``: 4 words by default. Windows of that width are what
-   every qualifying stretch holds intact, at least n - e - 3 (e + 1) = 5 of them; an exact run of 12 words holds 9.
+1. Windows. A qualifying stretch of n words with e edits keeps at least n - e of them in at most e + 1 runs; a long one contains one
+   of fewer than 2 * ``stretch`` words, so the longest run has at least (n - e) / (e + 1) words for n = ``stretch``: 4 words by
+   default. Windows of that width are what every qualifying stretch holds intact, at least n - e - 3 (e + 1) = 5 of them.
    Each window gets a 64-bit SimHash over its words, weighted by rarity among the passages.
 2. Search. Fingerprints are cut into ``radius + 1`` blocks; two within the radius agree on a block at least, so looking up
    every block of a document window in a table of passage windows finds all of them. Nothing is capped or sampled.
-3. Verification. Documents and passages with at least ``seeds`` matched windows close together are compared word by word: the
-   longest common run, and the share of a stretch's words kept in order, by alignment, each word counting alike.
+3. Shingles. A document and a passage are compared where ``seeds`` of the passage's window-sized shingles stand within the length
+   of a stretch, the least any qualifying one holds.
+4. Verification. Shingles in a row make a run; ``run`` words decide at once. Otherwise every run is an anchor: the reach to its left and to
+   its right is computed for each number of edits (furthest-reaching points on the diagonals of the alignment, for all anchors at once), and
+   the pair is a case if a left and a right reach make a stretch that has enough words for their edits. Every qualifying
+   stretch contains an anchor, so none is lost, wherever its edits stand and whatever lies beside it.
 
-Passages are the stated query set. They are broadcast in blocks of at most ``BLOCK`` items, each of which meets all documents
-in one map pass; documents are never shuffled, only found pairs are. Document texts are processed whole.
+Passages are the stated query set. They are sent to the tasks in blocks of at most ``BLOCK`` items, and all blocks meet the documents in one
+pass: a task holds some texts and one block at a time. Documents are never shuffled, only found pairs are. Texts are processed whole.
 
 Defined cases: null or blank texts and passages hold nothing. Passages of fewer than ``run`` words cannot leak. Repeated
 document rows give one pair. Rows with a null item id are ignored; a null doc_id stays null. Documents or items without rows give
@@ -38,13 +42,17 @@ from pyspark.sql import functions as F
 RUN, STRETCH, PER_EDIT, RADIUS = 12, 24, 6, 3
 BLOCK = 20_000
 SLICE = 100_000
+ANCHORS = 20_000
 _BITS = 64
 
-_TAG = re.compile(r"<[^<>\n]{0,200}>")
+_TAG = re.compile(r"<[!/]?[a-z][^<>\n]*>", re.IGNORECASE)
 _ESCAPE = re.compile(r"\\[ntr]")
 _HYPHEN = re.compile(r"(?<=\w)-[ \t]*\r?\n[ \t]*(?=\w)")
 _SPACE = re.compile(r"[|/\\—–…\[\](){}<>]+")
 _DROP = re.compile(r"[^\w\s]+|_")
+#: What _SPACE and _DROP do, for texts of ASCII alone.
+_PLAIN = bytes(32 if c < 128 and _SPACE.match(chr(c)) else c for c in range(256))
+_DELETE = bytes(c for c in range(128) if _DROP.match(chr(c)) and not _SPACE.match(chr(c)))
 
 
 def words(text: str | None) -> list[str]:
@@ -53,13 +61,17 @@ def words(text: str | None) -> list[str]:
         return []
     if "&" in text:
         text = html.unescape(text)
-    text = unicodedata.normalize("NFKC", text)
+    plain = text.isascii()
+    if not plain:
+        text = unicodedata.normalize("NFKC", text)
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "\\" in text:
         text = _ESCAPE.sub(" ", text)
-    text = _HYPHEN.sub("", text.casefold())
-    return _DROP.sub("", _SPACE.sub(" ", text)).split()
+    text = text.casefold()
+    if "-" in text:
+        text = _HYPHEN.sub("", text)
+    return text.encode().translate(_PLAIN, _DELETE).decode().split() if plain else _DROP.sub("", _SPACE.sub(" ", text)).split()
 
 
 class Passages:
@@ -86,20 +98,16 @@ class Passages:
             h = np.array([xxhash.xxh3_64_intdigest(w)], dtype="<u8").view(np.uint8)
             vectors[i] = (np.unpackbits(h).astype(np.float32) * 2 - 1) * np.float32(np.log1p(len(self.texts) / df[w]))
         self.vectors = vectors
-        self.coded = [np.array([self.vocabulary[w] for w in t], np.int32) for t in self.texts]
-        prints, owner, place = [], [], []
-        for k, c in enumerate(self.coded):
-            p = self.fingerprints(c, np.arange(len(c) - self.width + 1))
-            prints.append(p)
-            owner.append(np.full(len(p), k, np.int32))
-            place.append(np.arange(len(p), dtype=np.int32))
-        prints = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
-        owner = np.concatenate(owner) if owner else np.zeros(0, np.int32)
-        place = np.concatenate(place) if place else np.zeros(0, np.int32)
+        # all passages in one array, each followed by a gap that equals no word
+        self.size = np.array([len(t) for t in self.texts], np.int64)
+        self.begin = np.cumsum(np.concatenate(([0], self.size + 1)))[:-1]
+        self.flat = np.array([x for t in self.texts for x in (*[self.vocabulary[w] for w in t], -1)], np.int32)
+        place = np.concatenate([b + np.arange(n - self.width + 1) for b, n in zip(self.begin, self.size, strict=True)]) if self.texts else np.zeros(0, np.int64)
+        prints = self.fingerprints(self.flat, place)
         # windows by distinct fingerprint
         order = np.argsort(prints, kind="stable")
         self.prints, first = np.unique(prints[order], return_index=True)
-        self.owner, self.place = owner[order], place[order]
+        self.place = place[order]
         self.first = np.append(first, len(order)).astype(np.int64)
         # one table per block: value -> distinct fingerprints, as ranges of a sorted list
         cuts = np.linspace(0, _BITS, radius + 2).astype(int)
@@ -140,150 +148,143 @@ class Passages:
         none = np.zeros(0, np.int64)
         return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
-    def seeds_in(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, passage, place in the passage) of all matched windows of a coded run of words."""
+    def owner(self, place: np.ndarray) -> np.ndarray:
+        """The passages that places in the array of all passages belong to."""
+        return np.searchsorted(self.begin, place, side="right") - 1
+
+    def seeds_in(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, place in the array of passages) of all windows of a coded run of words that are shingles of a passage."""
         known = codes != len(self.vocabulary)
         count = np.cumsum(np.concatenate(([0], known)))
         # a window with two unknown words cannot be part of a match that verification would keep
         at = np.flatnonzero(count[self.width :] - count[: -self.width] >= self.width - 1) if len(codes) >= self.width else np.zeros(0, np.int64)
-        out = [[], [], []]
+        out = [[], []]
         for a in range(0, len(at), SLICE):
             part = at[a : a + SLICE]
             i, j = self.near(self.fingerprints(codes, part))
             n = self.first[j + 1] - self.first[j]
             entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[j], n)
-            out[0].append(np.repeat(part[i], n))
-            out[1].append(self.owner[entry])
-            out[2].append(self.place[entry])
+            where, place = np.repeat(part[i], n), self.place[entry]
+            same = np.ones(len(where), bool)  # within the radius, but of other words: no shingle of the passage
+            for k in range(self.width):
+                same &= codes[where + k] == self.flat[place + k]
+            out[0].append(where[same])
+            out[1].append(place[same])
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
-    def compare(self, codes: np.ndarray, tokens: list[str], passage: int) -> float:
-        """The greatest share that a region keeps of a long enough stretch of a passage."""
-        b = self.coded[passage]
-        # exact bound: the words both have, with multiplicity, can keep no more than this of a stretch
-        shared = sum((Counter(codes.tolist()) & Counter(b.tolist())).values())
-        if shared < self.stretch - self.stretch // self.per_edit:
-            return 0.0
-        return self._stretch(codes, tokens, b, self.texts[passage])
-
-    def longest_run(self, codes: np.ndarray, where: np.ndarray, place: np.ndarray, passage: int) -> int:
-        """The longest common run of words, from the matched windows: all windows of a common run match, so it shows as
-        neighbouring windows on one diagonal, whose words are then compared."""
-        b = self.coded[passage]
-        diagonal = where - place
-        order = np.lexsort((where, diagonal))
-        w, d = where[order], diagonal[order]
-        cut = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (w[1:] != w[:-1] + 1), [True])))
-        best = 0
-        for i in range(len(cut) - 1):
-            size = int(cut[i + 1] - cut[i]) + self.width - 1
-            if size <= best:
-                continue
-            at, off = int(w[cut[i]]), int(d[cut[i]])
-            size = min(size, len(codes) - at)  # the last windows of a text reach into the gap behind it
-            same = codes[at : at + size] == b[at - off : at - off + size]
-            ends = np.flatnonzero(np.concatenate(([True], ~same, [True])))
-            best = max(best, int(np.diff(ends).max()) - 1)
-        return best
+    def search(self, tokens: list[str]) -> list[tuple[int, int, float]]:
+        """(passage, longest run, share kept) of every passage that the words hold."""
+        return self.search_many([tokens])[0]
 
-    def _stretch(self, a: np.ndarray, tokens: list[str], b: np.ndarray, passage: list[str]) -> float:
-        """The greatest share of untouched words over the long enough stretches of the alignments that end in a match and score what the
-        shortest qualifying stretch must, be they the best or not."""
-        # each edit may be a broken word, which takes two of the stretch's words
-        least = 2 * self.stretch - 5 * (self.stretch // self.per_edit)
-        n, m = len(a), len(b)
-        a, b = a.tolist(), b.tolist()
-        score = [[0] * (m + 1) for _ in range(n + 1)]
-        move = [[0] * (m + 1) for _ in range(n + 1)]  # 1 match, 2 change, 3 added word, 4 dropped word, 5 word broken in two
-        ends = []
-        for i in range(1, n + 1):
-            up, here, way, x = score[i - 1], score[i], move[i], a[i - 1]
-            for j in range(1, m + 1):
-                if x == b[j - 1]:
-                    s, w = up[j - 1] + 2, 1
-                else:
-                    s, w = up[j - 1] - 1, 2
-                    if i > 1 and tokens[i - 2] + tokens[i - 1] == passage[j - 1] and score[i - 2][j - 1] - 1 >= s:
-                        s, w = score[i - 2][j - 1] - 1, 5
-                if up[j] - 1 > s:
-                    s, w = up[j] - 1, 3
-                if here[j - 1] - 1 > s:
-                    s, w = here[j - 1] - 1, 4
-                if s <= 0:
-                    s, w = 0, 0
-                here[j], way[j] = s, w
-                if w == 1 and s >= least:
-                    ends.append((s, i, j))
-        best, seen = 0.0, set()
-        for _, i, j in sorted(ends, reverse=True):
-            if (i, j) in seen:  # the way to it is part of one measured already
-                continue
-            steps = []
-            while move[i][j]:
-                w = move[i][j]
-                steps.append(w)
-                seen.add((i, j))
-                i -= {1: 1, 2: 1, 3: 1, 4: 0, 5: 2}[w]
-                j -= 0 if w == 3 else 1
-            steps.reverse()
-            best = max(best, self._kept(steps))
-        return best
+    def search_many(self, texts: list[list[str]]) -> list[list[tuple[int, int, float]]]:
+        """search() of several texts, whose windows are looked up and whose anchors are measured together."""
+        unknown, get = len(self.vocabulary), self.vocabulary.get
+        tokens = [t for text in texts for t in (*text, *[""] * self.width)]  # no window spans two texts
+        codes = np.array([get(t, unknown) for t in tokens], np.int32)
+        ends = np.cumsum([len(t) + self.width for t in texts]) - self.width
+        found: list[list[tuple[int, int, float]]] = [[] for _ in texts]
+        where, place = self.seeds_in(codes)
+        if not len(where):
+            return found
+        text, who = np.searchsorted(ends, where, side="right"), self.owner(place)
+        pair = text * len(self.texts) + who
+        order = np.lexsort((where, pair))
+        pair, where, place = pair[order], where[order], place[order]
+        # as many shingles as the least stretch holds must stand within the length of the longest piece that has to be looked at
+        near, k = np.zeros(len(pair), bool), self.seeds - 1
+        if len(pair) > k:
+            dense = np.flatnonzero((pair[k:] == pair[: len(pair) - k]) & (where[k:] - where[: len(pair) - k] <= 2 * self.stretch + self.stretch // self.per_edit * 2))
+            for i in range(k + 1):
+                near[dense + i] = True
+        pair, where, place = pair[near], where[near], place[near]
+        if not len(pair):
+            return found
+        # neighbouring windows on one diagonal are one run of equal words
+        order = np.lexsort((where, where - place, pair))
+        pair, where, place = pair[order], where[order], place[order]
+        d = where - place
+        cut = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (d[1:] != d[:-1]) | (where[1:] != where[:-1] + 1))))
+        size = np.diff(np.append(cut, len(pair))) + self.width - 1
+        pair, where, place = pair[cut], where[cut], place[cut]
+        group, inverse = np.unique(pair, return_inverse=True)
+        longest = np.zeros(len(group), np.int64)
+        np.maximum.at(longest, inverse, size)
+        kept = np.where(longest >= self.run, 1.0, 0.0)
+        open_ = np.flatnonzero(longest[inverse] < self.run)
+        for a in range(0, len(open_), ANCHORS):
+            part = open_[a : a + ANCHORS]
+            share = self._stretches(codes, tokens, ends, where[part], place[part], size[part])
+            np.maximum.at(kept, inverse[part], share)
+        for g in np.flatnonzero(kept > 0):
+            found[int(group[g] // len(self.texts))].append((int(group[g] % len(self.texts)), int(longest[g]), float(kept[g])))
+        return found
 
-    def _kept(self, steps: list[int]) -> float:
-        """The greatest share of untouched words over the long enough stretches of one alignment."""
-        edits = np.cumsum([0] + [w != 1 for w in steps])
-        mine = np.cumsum([0] + [w != 3 for w in steps])
-        theirs = np.cumsum([0] + [(w != 4) + (w == 5) for w in steps])
-        best = 0.0
-        for s in range(len(steps)):
-            size = np.maximum(mine[s + 1 :] - mine[s], theirs[s + 1 :] - theirs[s])
-            fit = size >= self.stretch
-            if fit.any():
-                best = max(best, float((1 - (edits[s + 1 :] - edits[s])[fit] / size[fit]).max()))
+    def _stretches(self, codes: np.ndarray, tokens: list[str], ends: np.ndarray, where: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The greatest share of untouched words over the stretches around each anchor that qualify; 0 where none does."""
+        edits = (2 * self.stretch) // self.per_edit
+        text, who = np.searchsorted(ends, where, side="right"), self.owner(place)
+        starts = np.concatenate(([0], ends[:-1] + self.width))
+        # two words of the document that make one of the passages' words when put together: looked up around the anchors only
+        reach = self.stretch * 2 + edits + 2
+        spots = np.zeros(len(codes) + 1, np.int32)
+        np.add.at(spots, np.maximum(where - reach, 0), 1)
+        np.add.at(spots, np.minimum(where + size + reach, len(codes)), -1)
+        joined, get = np.full(len(codes), -2, np.int32), self.vocabulary.get
+        for i in np.flatnonzero(np.cumsum(spots[:-1]) > 0):
+            if i + 1 < len(codes) and tokens[i] and tokens[i + 1]:
+                joined[i] = get(tokens[i] + tokens[i + 1], -2)
+        right = self._reaches(codes, joined, where + size, place + size, ends[text] - where - size, self.begin[who] + self.size[who] - place - size, 1, edits)
+        left = self._reaches(codes, joined, where - 1, place - 1, where - starts[text], place - self.begin[who], -1, edits)
+        best = np.zeros(len(where))
+        for a in range(edits + 1):
+            for b in range(edits + 1 - a):
+                n = size + np.maximum(left[0][a] + right[0][b], left[1][a] + right[1][b])
+                e = a + b
+                fits = (n >= self.stretch) & (n >= self.per_edit * e)
+                best = np.where(fits, np.maximum(best, 1 - e / n), best)
         return best
 
-    def search(self, tokens: list[str]) -> list[tuple[int, int, float]]:
-        """(passage, longest run, share kept) of every passage that the words hold."""
-        return next(iter(self.search_many([tokens])))
+    def _reaches(self, codes: np.ndarray, joined: np.ndarray, i0: np.ndarray, j0: np.ndarray, room: np.ndarray, space: np.ndarray, step: int, edits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For 0, 1, ... edits, how many words of the document and of the passage an alignment reaches at most, going from word
+        i0 and j0 in steps of ``step``; ``room`` and ``space`` words are there. On every diagonal only the furthest point counts."""
+        width, n = 2 * edits + 3, len(i0)
+        shift = np.arange(width) - edits - 1  # document words less passage words
+        none = np.int64(-(1 << 40))
+        x = np.full((n, width), none)
+        x[:, edits + 1] = 0
 
-    def search_many(self, texts: list[list[str]]) -> Iterator[list[tuple[int, int, float]]]:
-        """search() of several texts, whose windows are looked up together."""
-        unknown = len(self.vocabulary)
-        get = self.vocabulary.get
-        coded = [np.array([get(t, unknown) for t in tokens], np.int32) for tokens in texts]
-        gap = np.full(self.width, unknown, np.int32)  # no window spans two texts
-        starts = np.cumsum([0] + [len(c) + self.width for c in coded])
-        where, who, place = self.seeds_in(np.concatenate([x for c in coded for x in (c, gap)]))
-        text = np.searchsorted(starts, where, side="right") - 1
-        order = np.lexsort((where, who, text))
-        where, who, place, text = where[order], who[order], place[order], text[order]
-        bounds = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (text[1:] != text[:-1]), [True]))) if len(where) else np.zeros(1, np.int64)
-        found: list[list[tuple[int, int, float]]] = [[] for _ in texts]
-        for g in np.flatnonzero(np.diff(bounds) >= self.seeds):
-            s, e = int(bounds[g]), int(bounds[g + 1])
-            t, k = int(text[s]), int(who[s])
-            hit = self._decide(coded[t], texts[t], k, where[s:e] - starts[t], place[s:e])
-            if hit:
-                found[t].append((k, *hit))
-        yield from found
+        def slide(x: np.ndarray) -> np.ndarray:
+            row, col = np.nonzero(x >= 0)
+            while len(row):
+                at = x[row, col]
+                ok = (at < room[row]) & (at - shift[col] < space[row])
+                row, col, at = row[ok], col[ok], at[ok]
+                ok = codes[i0[row] + step * at] == self.flat[j0[row] + step * (at - shift[col])]
+                row, col = row[ok], col[ok]
+                x[row, col] += 1
+            return x
 
-    def _decide(self, codes: np.ndarray, tokens: list[str], k: int, spots: np.ndarray, place: np.ndarray) -> tuple[int, float] | None:
-        run = self.longest_run(codes, spots, place, k)
-        if run >= self.run:
-            return run, 1.0
-        reach = len(self.coded[k]) + len(self.coded[k]) // self.per_edit + self.width
-        best = 0.0
-        for part in np.split(spots, np.flatnonzero(np.diff(spots) > reach) + 1):
-            if len(np.unique(part)) < self.seeds:
-                continue
-            lo, hi = max(0, int(part[0]) - reach), min(len(codes), int(part[-1]) + self.width + reach)
-            # long regions, as of a passage repeated over and over, are looked at in overlapping pieces
-            for at in range(lo, hi, 4 * reach):
-                piece = slice(at, min(hi, at + 6 * reach))
-                best = max(best, self.compare(codes[piece], tokens[piece], k))
-                if piece.stop >= hi:
-                    break
-        return (run, best) if best >= 1 - 1 / self.per_edit else None
+        words_, places = [], []
+        for e in range(edits + 1):
+            if e:
+                was = x
+                x = was.copy()
+                change = was + 1
+                x = np.maximum(x, np.where((change <= room[:, None]) & (change - shift <= space[:, None]), change, none))
+                more = was[:, :-1] + 1  # a word added to the document
+                x[:, 1:] = np.maximum(x[:, 1:], np.where(more <= room[:, None], more, none))
+                less = was[:, 1:]  # a word of the passage dropped
+                x[:, :-1] = np.maximum(x[:, :-1], np.where(less - shift[:-1] <= space[:, None], less, none))
+                row, col = np.nonzero((was[:, :-1] >= 0) & (was[:, :-1] + 2 <= room[:, None]) & (was[:, :-1] - shift[:-1] + 1 <= space[:, None]))
+                at = was[row, col]
+                first = i0[row] + step * at + (0 if step > 0 else -1)
+                ok = joined[first] == self.flat[j0[row] + step * (at - shift[col])]
+                row, col, at = row[ok], col[ok], at[ok]
+                x[row, col + 1] = np.maximum(x[row, col + 1], at + 2)
+            x = slide(x)
+            words_.append(x.max(axis=1))
+            places.append((x - shift).max(axis=1))
+        return words_, places
 
 
 def _chunks(texts: pd.Series, size: int, overlap: int) -> Iterator[tuple[list[int], list[list[str]]]]:
@@ -306,33 +307,37 @@ def _chunks(texts: pd.Series, size: int, overlap: int) -> Iterator[tuple[list[in
         yield rows, held_texts
 
 
-def find(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", fields: tuple[str, ...] = ("question", "answer"), **options) -> DataFrame:
+def find(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", fields: tuple[str, ...] = ("question", "answer"), block: int = BLOCK, **options) -> DataFrame:
     """(doc_id, item_id, field, run, kept) of every document and passage it holds."""
     spark = documents.sparkSession
     kind = dict(documents.dtypes)[doc_id]
     key = dict(items.dtypes)[item_id]
     schema = f"doc_id {kind}, item_id {key}, field string, run int, kept double"
     picked = items.where(F.col(item_id).isNotNull()).select(item_id, *fields)
-    blocks = max(1, -(-picked.count() // BLOCK))
-    source = documents.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t")).where("t is not null")
-    out = None
+    blocks = max(1, -(-picked.count() // block))
+    indexes, reach = [], 0
     for b in range(blocks):
-        # a block holds about BLOCK items, whatever their number
+        # a block holds about ``block`` items, whatever their number
         rows = picked.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b).collect()
-        index = spark.sparkContext.broadcast(Passages([(r[item_id], f, r[f]) for r in rows for f in fields if r[f]], **options))
+        index = Passages([(r[item_id], f, r[f]) for r in rows for f in fields if r[f]], **options)
+        reach = max(reach, index.reach)
+        indexes.append(spark.sparkContext.broadcast(index))
 
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            p = index.value
-            for batch in batches:
-                best: dict[tuple[int, int], tuple[int, float]] = {}
-                for numbers, texts in _chunks(batch["t"], SLICE // 4, 4 * p.reach):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            best: dict[tuple, tuple[int, float]] = {}
+            # the more blocks there are, the more words meet a block before the next one takes its place
+            for numbers, texts in _chunks(batch["t"], SLICE // 4 * min(blocks, 40), reach):
+                for shared in indexes:
+                    p = shared.value
                     for i, hits in zip(numbers, p.search_many(texts), strict=True):
                         for k, longest, kept in hits:
-                            best[(i, k)] = max(best.get((i, k), (0, 0.0)), (longest, kept))
-                if best:
-                    ids = batch["d"].tolist()
-                    yield pd.DataFrame([(ids[i], p.items[k], p.sides[k], *v) for (i, k), v in best.items()], columns=["doc_id", "item_id", "field", "run", "kept"])
+                            case = (i, p.items[k], p.sides[k])
+                            best[case] = max(best.get(case, (0, 0.0)), (longest, kept))
+                    if blocks > 1:
+                        shared.__dict__.pop("_value", None)  # it stays on the executor's disk
+            if best:
+                ids = batch["d"].tolist()
+                yield pd.DataFrame([(ids[i], item, side, *v) for (i, item, side), v in best.items()], columns=["doc_id", "item_id", "field", "run", "kept"])
 
-        found = source.mapInPandas(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return documents.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t")).where("t is not null").mapInPandas(run, schema)

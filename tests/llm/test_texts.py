@@ -87,6 +87,52 @@ def test_near_copy_beside_a_longer_loose_copy():
     assert index.search(loose) == []
 
 
+def edited(w, at, rnd):
+    """The words with one edit at each place: changed, broken in two, dropped, or followed by an added word."""
+    out = []
+    for p, x in enumerate(w):
+        kind = rnd.randrange(4) if p in at else None
+        out += {None: [x], 0: [f"c{p}"], 1: [x[:1], x[1:]], 2: [], 3: [x, f"a{p}"]}[kind]
+    return out
+
+
+def test_edits_near_the_ends_of_the_shortest_stretch():
+    words = [f"w{i}" for i in range(24)]
+    index = L.Passages([(1, "answer", " ".join(words))])
+    doc = [f"x{i}" if i in (0, 1, 11, 19) else w for i, w in enumerate(words)]
+    assert [k for k, _, _ in index.search(["z"] * 9 + doc + ["z"] * 9)] == [0]
+    assert [k for k, _, _ in index.search(doc)] == [0]
+    worse = [f"x{i}" if i in (1, 5, 11, 15, 19) else w for i, w in enumerate(words)]
+    assert index.search(["z"] * 9 + worse + ["z"] * 9) == []
+
+
+@pytest.mark.parametrize("beside", [0, 3, 50])
+def test_no_random_stretch_is_lost(beside):
+    """24 to 60 words with an edit in six anywhere, alone or next to a longer loose copy of the same passage."""
+    rnd = random.Random(beside)
+    passages = [[f"{i}q{j}" for j in range(120)] for i in range(50)]
+    index = L.Passages([(i, "answer", " ".join(w)) for i, w in enumerate(passages)])
+    docs, want = [], []
+    for n in range(1500):
+        i, size = rnd.randrange(50), rnd.choice([24, 24, 25, 29, 30, 36, 47, 60])
+        at = rnd.randrange(60, 121 - size)
+        near = edited(passages[i][at : at + size], set(rnd.sample(range(size), size // 6)), rnd)
+        loose = [f"y{k}" if k % 10 in (2, 5, 8) else w for k, w in enumerate(passages[i][:55])]
+        docs.append(["z"] * 5 + (loose + ["z"] * beside if beside else []) + near + ["z"] * 5)
+        want.append([i])
+    got = [[k for k, _, _ in hits] for hits in index.search_many(docs)]
+    assert got == want
+
+
+def test_blocks_of_items_give_what_one_block_gives(spark, items):
+    rnd = random.Random(3)
+    docs = [(i, " ".join(passage(random.Random(i + 700), 40) + damaged(w[:30], rnd) + w[:15]), 0) for i, w in items]
+    d = spark.createDataFrame(docs, "doc_id long, text string, n int").repartition(2)
+    e = spark.createDataFrame([(i, " ".join(w), "") for i, w in items], "item_id long, question string, answer string")
+    one, many = L.find(d, e), L.find(d, e, block=7)
+    assert sorted(one.collect()) == sorted(many.collect()) and one.count() == len(items)
+
+
 def test_too_much_damage_and_other_sentences(items, index):
     rnd = random.Random(10)
     for i, w in items:
@@ -119,7 +165,7 @@ def test_long_texts_in_pieces(items, index):
     for at in (0, 24_990, 24_999, 25_400, 59_000):
         doc = ["lorem"] * 60_000
         doc[at : at + 13] = items[3][1][:13]
-        got = {index.items[k] for rows, texts in L._chunks(pd.Series([" ".join(doc)]), 25_000, 4 * index.reach) for hits in index.search_many(texts) for k, _, _ in hits}
+        got = {index.items[k] for rows, texts in L._chunks(pd.Series([" ".join(doc)]), 25_000, index.reach) for hits in index.search_many(texts) for k, _, _ in hits}
         assert got == {3}
     assert index.search((items[3][1][:8] + ["x"]) * 3000) == []
 
