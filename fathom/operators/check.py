@@ -80,19 +80,18 @@ def lengths(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
 
 
 def correlation_kept(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
-    """(score): 1 minus the mean absolute difference of Pearson's r over pairs of the first five numeric columns."""
+    """(score): 1 minus the mean absolute difference of Pearson's r over all pairs of the columns."""
     from fathom.operators.learn.correlate import pearson
 
-    five = columns[:5]
-    a, b = pearson(left, five).select("left", "right", F.col("r").alias("a")), pearson(right, five).select("left", "right", F.col("r").alias("b"))
+    a, b = pearson(left, columns).select("left", "right", F.col("r").alias("a")), pearson(right, columns).select("left", "right", F.col("r").alias("b"))
     return a.join(b, ["left", "right"]).agg((1 - F.avg(F.abs(F.col("a") - F.col("b")))).alias("score"))
 
 
 def fk_integrity(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
-    """(score): the share of non-null references that exist."""
+    """(score): the share of non-null references that exist; 1 where there are no references."""
     refs = child.select(F.col(column).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("k"))
     keys = parent.select(F.col(key).alias("v")).distinct().withColumn("hit", F.lit(True))
-    return refs.join(keys, "v", "left").agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("hit"), F.col("k"))), F.sum("k")), F.lit(1.0)).alias("score"))
+    return refs.join(keys, "v", "left").agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("hit"), F.col("k")).otherwise(0)), F.sum("k")), F.lit(1.0)).alias("score"))
 
 
 def compare_columns(left: DataFrame, right: DataFrame, numeric: list[str], category: list[str]) -> DataFrame:

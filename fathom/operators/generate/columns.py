@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.expressions import compile_expression, compile_template, is_template
 from fathom.functions.rng import Rng, salt_of
-from fathom.operators.generate.distributions import distribution, zipf_cdf
+from fathom.operators.generate.distributions import distribution
 
 
 @dataclass
@@ -223,9 +223,7 @@ def fk(ctx: Context, parent: str = "", selection: str = "uniform", window: int =
         centre = F.floor(ctx.row * float(n) / max(1, ctx.rows))
         index = F.greatest(F.lit(0), F.least(F.lit(n - 1), centre + ctx.rng.integer(-window, window, ctx.name)))
     elif selection == "zipf":
-        from fathom.operators.generate.distributions import _searched
-
-        index = _searched(ctx.rng, (ctx.name,), zipf_cdf(n, exponent))
+        index = distribution(ctx.rng, "zipf", {"n": n, "s": exponent}, ctx.name) - 1
     else:
         index = ctx.rng.integer(0, n - 1, ctx.name)
     return keys.at(index.cast("long"))

@@ -1,7 +1,8 @@
 """Random columns of named distributions.
 
-Families with a closed inverse stay inside codegen. Counting families search a bounded table of cumulative probabilities, and the gamma
-family rejects candidates drawn from a hash counter of the row; both are Arrow-batched and depend on the row only.
+Families with a closed inverse stay inside codegen. Poisson and binomial search a table of cumulative probabilities around the mean, whose
+size grows with the deviation and leaves out less than 1e-30 of the mass. The gamma and zipf families reject candidates drawn from a hash
+counter of the row. All are Arrow-batched and depend on the row only.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from fathom.functions.rng import Rng
 
-TABLE_CAP = 100_000
+#: Deviations from the mean that tables reach.
+REACH = 13
 
 
 def _open(rng: Rng, *path: object) -> Column:
@@ -72,24 +74,46 @@ def _searched(rng: Rng, path: tuple, cdf: np.ndarray, first: int = 0) -> Column:
     return search(rng.uniform(*path))
 
 
-def poisson_cdf(rate: float) -> np.ndarray:
-    top = int(rate + 12 * math.sqrt(rate) + 30)
-    k = np.arange(min(top, TABLE_CAP) + 1)
-    logs = k * math.log(rate) - rate - np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, len(k))))))
-    return np.cumsum(np.exp(logs))
+def _window(mean: float, sd: float, top: float) -> tuple[int, int]:
+    return max(0, int(mean - REACH * sd - 40)), int(min(top, mean + REACH * sd + 40))
 
 
-def binomial_cdf(n: int, p: float) -> np.ndarray:
-    k = np.arange(n + 1)
-    lf = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        logs = lf[n] - lf - lf[::-1] + np.where(k > 0, k * np.log(p), 0) + np.where(n - k > 0, (n - k) * np.log1p(-p), 0)
-    return np.cumsum(np.exp(logs))
+def _cumulated(first: float, steps: np.ndarray) -> np.ndarray:
+    """Cumulative probabilities from the logarithm of the first and of the ratios that follow."""
+    p = np.exp(first + np.concatenate(([0.0], np.cumsum(steps))))
+    return np.cumsum(p) / p.sum()
 
 
-def zipf_cdf(n: int, s: float) -> np.ndarray:
-    w = np.arange(1, min(n, TABLE_CAP) + 1, dtype=float) ** -s
-    return np.cumsum(w) / w.sum()
+def poisson_cdf(rate: float) -> tuple[np.ndarray, int]:
+    """The table and the value it begins with."""
+    low, high = _window(rate, math.sqrt(rate), math.inf)
+    return _cumulated(low * math.log(rate) - rate - math.lgamma(low + 1), math.log(rate) - np.log(np.arange(low + 1, high + 1))), low
+
+
+def binomial_cdf(n: int, p: float) -> tuple[np.ndarray, int]:
+    if p in (0.0, 1.0):
+        return np.ones(1), int(n * p)
+    low, high = _window(n * p, math.sqrt(n * p * (1 - p)), n)
+    k = np.arange(low, high)
+    first = math.lgamma(n + 1) - math.lgamma(low + 1) - math.lgamma(n - low + 1) + low * math.log(p) + (n - low) * math.log1p(-p)
+    return _cumulated(first, np.log((n - k) / (k + 1.0)) + math.log(p) - math.log1p(-p)), low
+
+
+def zipf_draws(h: np.ndarray, n: int, s: float) -> np.ndarray:
+    """Ranks from 1 to n with weight rank^-s by rejection-inversion (Hörmann and Derflinger): no table, whatever n is."""
+    area = (lambda x: np.log(x)) if s == 1 else (lambda x: np.expm1((1 - s) * np.log(x)) / (1 - s))
+    back = (lambda y: np.exp(y)) if s == 1 else (lambda y: np.exp(np.log1p(np.maximum(y * (1 - s), -1 + 1e-16)) / (1 - s)))
+    low, high = float(area(1.5)) - 1, float(area(n + 0.5))
+    sure = 2 - float(back(area(2.5) - 2.0**-s))
+    out, todo, k = np.ones(len(h)), np.arange(len(h)), 0
+    while len(todo):
+        y = high + _draw(h[todo], k) * (low - high)
+        x = back(y)
+        rank = np.clip(np.floor(x + 0.5), 1, n)
+        ok = (rank - x <= sure) | (y >= area(rank + 0.5) - rank**-s)
+        out[todo[ok]] = rank[ok]
+        todo, k = todo[~ok], k + 1
+    return out
 
 
 def _beta(h: np.ndarray, a: float, b: float) -> np.ndarray:
@@ -132,9 +156,9 @@ FAMILIES: dict[str, tuple[dict, Callable[[dict], bool], Callable[[Rng, tuple, di
     "weibull": ({"scale": 1.0, "shape": 1.0}, lambda p: p["scale"] > 0 and p["shape"] > 0, lambda r, k, p: float(p["scale"]) * F.pow(-F.ln(_open(r, *k)), F.lit(1.0 / p["shape"]))),
     "cauchy": ({"median": 0.0, "scale": 1.0}, lambda p: p["scale"] > 0, lambda r, k, p: float(p["median"]) + float(p["scale"]) * F.tan(math.pi * (r.uniform(*k) - 0.5))),
     "triangular": ({"min": 0.0, "max": 1.0, "mode": 0.5}, lambda p: p["min"] < p["max"] and p["min"] <= p["mode"] <= p["max"], lambda r, k, p: _triangular(r.uniform(*k), float(p["min"]), float(p["max"]), float(p["mode"]))),
-    "poisson": ({"lambda": 1.0}, lambda p: 0 < p["lambda"] < TABLE_CAP / 2, lambda r, k, p: _searched(r, k, poisson_cdf(float(p["lambda"])))),
-    "binomial": ({"n": 10, "p": 0.5}, lambda p: 0 <= p["p"] <= 1 and 0 < p["n"] <= TABLE_CAP, lambda r, k, p: _searched(r, k, binomial_cdf(int(p["n"]), float(p["p"])))),
-    "zipf": ({"n": 100, "s": 1.0}, lambda p: p["n"] >= 1 and p["s"] > 0, lambda r, k, p: _searched(r, k, zipf_cdf(int(p["n"]), float(p["s"])), 1)),
+    "poisson": ({"lambda": 1.0}, lambda p: 0 < p["lambda"] < 1e12, lambda r, k, p: _searched(r, k, *poisson_cdf(float(p["lambda"])))),
+    "binomial": ({"n": 10, "p": 0.5}, lambda p: 0 <= p["p"] <= 1 and 0 < p["n"] < 1e12, lambda r, k, p: _searched(r, k, *binomial_cdf(int(p["n"]), float(p["p"])))),
+    "zipf": ({"n": 100, "s": 1.0}, lambda p: p["n"] >= 1 and p["s"] > 0, lambda r, k, p: _rowwise(r, k, lambda h: zipf_draws(h, int(p["n"]), float(p["s"])))),
     "gamma": ({"shape": 1.0, "scale": 1.0}, lambda p: p["shape"] > 0 and p["scale"] > 0, lambda r, k, p: _rowwise(r, k, lambda h: gamma_draws(h, float(p["shape"])) * float(p["scale"]))),
     "beta": ({"alpha": 1.0, "beta": 1.0}, lambda p: p["alpha"] > 0 and p["beta"] > 0, lambda r, k, p: _rowwise(r, k, lambda h: _beta(h, float(p["alpha"]), float(p["beta"])))),
     "chi_squared": ({"k": 1.0}, lambda p: p["k"] > 0, lambda r, k, p: _rowwise(r, k, lambda h: 2 * gamma_draws(h, p["k"] / 2))),

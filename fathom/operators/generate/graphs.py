@@ -50,12 +50,12 @@ def complete(spark: SparkSession, n: int) -> DataFrame:
 
 
 def erdos_renyi(spark: SparkSession, n: int, p: float, seed: int) -> DataFrame:
-    """(src, dst) directed, each present with probability p: a node's out-degree is binomial, approximated by its normal for large n, and targets
+    """(src, dst) directed, each present with probability p: a node's out-degree is binomial, and targets
     are hashed, so the work follows the number of edges and not of pairs."""
     from fathom.operators.generate.distributions import distribution
 
     rng = Rng(seed, "erdos_renyi", F.col("src"))
-    degree = distribution(rng, "binomial", {"n": n - 1, "p": p}, "degree") if n <= 50_000 else F.round(rng.normal("degree") * math.sqrt((n - 1) * p * (1 - p)) + (n - 1) * p)
+    degree = distribution(rng, "binomial", {"n": n - 1, "p": p}, "degree")
     slots = _rows(spark, n, "src").withColumn("k", F.greatest(F.lit(0), degree.cast("int"))).where("k > 0").select("src", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("slot"))
     target = Rng(seed, "erdos_renyi_target", F.concat_ws(":", "src", "slot")).integer(0, n - 2, "dst")
     return slots.select("src", F.when(target >= F.col("src"), target + 1).otherwise(target).alias("dst")).distinct()
@@ -71,24 +71,23 @@ def small_world(spark: SparkSession, n: int, k: int, beta: float, seed: int) ->
     return _rows(spark, n * half).select(src.alias("src"), F.when(rng.uniform("rewire") < beta, other).otherwise(F.pmod(src + hop, F.lit(n))).alias("dst")).where("src <> dst").distinct()
 
 
-def scale_free(spark: SparkSession, n: int, m: int, seed: int, rounds: int = 12) -> DataFrame:
+def scale_free(spark: SparkSession, n: int, m: int, seed: int) -> DataFrame:
     """(src, dst) with preferential attachment by the copy model: edge e of node e//m points to a uniform earlier edge slot, and takes that edge's
-    source or, as likely, what it points to. Pointers are followed for all edges at once, ``rounds`` steps at most."""
+    source or, as likely, what it points to. Pointers are followed for all edges at once, until none is left: every step halves
+    them, and a pointer always goes to an earlier node, so the steps end."""
     e = F.col("e")
     rng = Rng(seed, "scale_free", e)
     src = F.floor(e / m).cast("long")
     edges = _rows(spark, n * m, "e").where(src > 0).select("e", src.alias("src"), F.floor(rng.uniform("pick") * (src * m)).cast("long").alias("at"), (rng.uniform("copy") < 0.5).alias("copy"))
     edges = checkpoint(edges)
     todo, done = edges.select("e", "src", "at", "copy"), None
-    for _ in range(rounds):
+    while True:
         final = todo.where(~F.col("copy") | (F.col("at") < m)).select("src", F.floor(F.col("at") / m).cast("long").alias("dst"))
         done = final if done is None else done.unionByName(final)
         nxt = edges.select(F.col("e").alias("at"), F.col("at").alias("at2"), F.col("copy").alias("copy2"))
         todo = checkpoint(todo.where(F.col("copy") & (F.col("at") >= m)).join(nxt, "at").select("e", "src", F.col("at2").alias("at"), F.col("copy2").alias("copy")))
         if todo.isEmpty():
-            break
-    rest = todo.select("src", F.floor(F.col("at") / m).cast("long").alias("dst"))
-    return done.unionByName(rest).where("src <> dst").distinct()
+            return done.where("src <> dst").distinct()
 
 
 def blocks(spark: SparkSession, n: int, groups: int, inside: float, outside: float, seed: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fathom.operators.relational import overlap
 
 #: Suffixes that mark a column as a reference: fixed values.
-SUFFIXES = ("_identifier", "_code", "_key", "_ref", "_fk", "_id", "Id")
+SUFFIXES = ("_id", "_key", "_fk", "Id", "ID", "Key", "_ref")
 LEAST_NAME, LEAST_OVERLAP, UNIQUE_SHARE = 0.3, 0.1, 0.95
 
 
@@ -19,7 +19,7 @@ def looks_like_id(name: str, relaxed: bool = False) -> bool:
     """Whether a column name is that of a key. ``relaxed`` also takes a short table prefix and a bare ``key`` suffix."""
     n = _plain(name) if relaxed else name
     low = n.lower()
-    return low in ("id", "uuid", "guid", "key") or low.endswith(("_id", "_key", "_uuid")) or n.endswith(("Id", "ID")) or (relaxed and low.endswith("key"))
+    return low in ("id", "uuid", "guid", "key") or low.endswith("_uuid") or n.endswith(SUFFIXES) or (relaxed and low.endswith("key"))
 
 
 def _plain(name: str) -> str:

@@ -239,6 +239,14 @@ def token_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize.verify(c, pseudonymize.apply_map(c, ["c_name"], m), ["c_name"])
 
 
+def token_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values and tokens of small and large shapes: all single capitals, all pairs of a letter and a digit, nations and customers."""
+    letters = spark.range(26).select(F.char(F.col("id") + 65).alias("v"))
+    pairs = spark.range(260).select(F.concat(F.char(F.floor(F.col("id") / 10) + 97), (F.col("id") % 10).cast("string")).alias("v"))
+    frames = [(letters, ["v"]), (pairs, ["v"]), (table(spark, sf_dir, "nation"), ["n_name"]), (table(spark, sf_dir, "customer"), ["c_name"])]
+    return pseudonymize.report(pseudonymize.build_map(pseudonymize.distinct_values(frames), 17))
+
+
 # --- checks and scores
 
 _CHECKED = {"tables": {"orders": {"rows": (1, 10**12), "fields": {"o_orderkey": {"type": "int", "primary_key": True}, "o_custkey": {"type": "string"}, "o_missing": {"type": "int"}, "o_orderstatus": {"type": "string", "nullable": False}}}, "requests": {"fields": {"id": {"type": "int", "primary_key": True}, "method": {"type": "string", "nullable": False}}}}, "relationships": [{"from_table": "requests", "foreign_key": "server_id", "to_table": "servers", "to_column": "id"}]}
@@ -277,6 +285,12 @@ def score_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check.fk_integrity(table(spark, sf_dir, "requests"), "customer_id", table(spark, sf_dir, "customers"), "CustomerId").select(F.round("score", 9).alias("score"))
 
 
+def score_fk_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References none of which exists."""
+    lost = table(spark, sf_dir, "orders").select((-F.col("o_custkey")).alias("c"))
+    return check.fk_integrity(lost, "c", table(spark, sf_dir, "customer").where("c_custkey > 0"), "c_custkey")
+
+
 def score_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customers")
     return check.lengths(c.where("Country = 'Jeinia'"), c.where("Country <> 'Jeinia'"), "LastName").select(F.round("score", 6).alias("score"))
@@ -440,6 +454,8 @@ SQL = {
     "score_columns": _score_sql(),
     "score_range": f"with p as (select {_P(_F, 2)} a, {_P(_F, 98)} b, {_P(_O, 2)} c, {_P(_O, 98)} d) select round(greatest(0, least(1, greatest(0, least(b, d) - greatest(a, c)) / (b - a) - 1.5 * (greatest(0, a - c) + greatest(0, d - b)) / (b - a))), 6) score from p",
     "score_correlation": "select round(1 - avg(x), 6) score from (" + " union all ".join(f"select abs((select corr({a}, {b}) from {_F}) - (select corr({a}, {b}) from {_O})) x" for a, b in _PAIRS) + ")",
+    "token_privacy": "select n \"values\", n tokens, n kept_shape, cast(0 as bigint) holding from (select 286 + count(*) n from (select n_name from nation union select c_name from customer))",
+    "score_fk_broken": "select cast(0 as double) score",
     "score_fk": "select round(count(*) filter (customer_id in (select CustomerId from customers)) / count(customer_id), 9) score from requests",
     "score_lengths": _lengths_sql(),
     "enrich_mapping": "select l as \"left\", r as \"right\", round(n, 6) name_score, t type_score, round(0.7 * n + 0.3 * t, 6) score from (select l, r, cast(t as double) t, case when a = b then 1.0 else 1 - levenshtein(a, b) / greatest(length(a), length(b)) end n from (values ('qty', 'quantity', 'quantity', 'quantity', 0.7), ('qty', 'quantity', 'customerName', 'customer_name', 0), ('qty', 'quantity', 'address', 'address', 0), ('cust_name', 'customer_name', 'quantity', 'quantity', 0), ('cust_name', 'customer_name', 'customerName', 'customer_name', 1), ('cust_name', 'customer_name', 'address', 'address', 1)) v(l, a, r, b, t))",
