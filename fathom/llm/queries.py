@@ -115,16 +115,21 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 9: abuse
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return abuse.score(documents, learned=abuse.fit(documents, table(spark, sf_dir, "abuse_labels")))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.score(table(spark, sf_dir, "documents")).where("abusive_sentences > 0").select("doc_id")
+    return _scored(spark, sf_dir).where("abusive_sentences > 0").select("doc_id")
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.score(table(spark, sf_dir, "documents"))
+    return _scored(spark, sf_dir)
 
 
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.rates(abuse.score(table(spark, sf_dir, "documents")))
+    return abuse.rates(_scored(spark, sf_dir))
 
 
 QUERIES = {

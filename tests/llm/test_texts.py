@@ -209,12 +209,94 @@ def test_scores_and_rates(spark):
     assert A.score(df.limit(0)).collect() == []
 
 
-def test_accuracy_on_labels(spark, sf):
-    """Against single judgements, some of which err, on the small sample."""
+# Sentences written apart from the lexicon. Before any of them was looked at, 22 of the abusive ones were found and 5 of the harmless ones flagged.
+UNSEEN_BAD = """You are the dumbest person I have ever worked with.
+What a bunch of imbeciles you all are.
+Nobody in this company can stand you, you miserable creep.
+I hope you get hit by a truck on your way home.
+Come to my desk again and I will break your nose.
+You should be ashamed of existing, you little worm.
+Women cannot write code, they belong in the kitchen.
+Muslims should all be deported before they ruin this country.
+Refugees are nothing but parasites living off our taxes.
+These people are animals and ought to be put down.
+She took off her bra and let him lick her nipples.
+I want you naked on my bed tonight, bring your wet pussy.
+Shut up, you worthless piece of trash.
+Kill yourself, the world would not notice.
+You're a p4th3tic l0ser and everyone knows it.
+Go choke on something, b*tch.
+Jews control the banks and should be wiped out.
+I know your address and I am going to hurt your kids.
+Du bist so ein dummes Schwein, verpiss dich.
+Alle Ausländer sind kriminell und gehören abgeschoben.
+Eres un pedazo de mierda y nadie te soporta.
+Los inmigrantes son una plaga, que se larguen.
+T'es vraiment une grosse merde, ferme ta gueule.
+Les Arabes sont tous des voleurs.
+He pulled down his pants and she sucked his dick.
+Your code is as ugly as your fat face, you cow.
+Gays are disgusting and should be locked up.
+If you push to main again I'll slit your throat.
+Nobody wants a retard like you on the team.
+Your mother should be embarrassed for giving birth to you.""".splitlines()
+UNSEEN_GOOD = """The moderators removed a comment that told someone to kill themselves.
+Her message was deleted because it called another member an idiot.
+We banned two accounts for posting 'go back to your country'.
+The classifier labels "you are a moron" as abusive.
+This bloody compiler is a piece of shit and wasted my day.
+I am such an idiot, I forgot the semicolon.
+Kill the child process before you start the parent.
+The patient reported pain in the breast after sex.
+Damn it, the stupid build is broken again.
+The master node kills slaves that miss a heartbeat.
+Foreign workers are entered in the second table.
+The cock crows at dawn in this sample sentence.
+Women are under-represented in the survey, so weights were applied.
+Shoot me a message when the job is done.
+My code is garbage and I should feel bad.
+Naked foreign keys hurt you later when tables grow.
+Refugees were counted twice in the 2016 load.
+You will hate this bug, it kills the whole run.
+Sex is stored as M or F, and null where unknown.
+He was reported for writing that all foreigners are vermin.""".splitlines()
+
+
+def test_sentences_written_apart():
+    assert sum(A.score_text(t)[2] > 0 for t in UNSEEN_BAD) >= 27
+    assert not [t for t in UNSEEN_GOOD if A.score_text(t)[2]]
+
+
+def test_cover_takes_few_phrases_and_their_sentences():
+    found = {"a b c": {(1, 0), (2, 0), (3, 4)}, "b c d": {(1, 0), (2, 0), (4, 0)}, "x y z": {(5, 0), (6, 0)}, "q r s": {(1, 7), (2, 7), (3, 7)}}
+    assert A.cover(found, 3) == ["q r s"] and A.cover({}, 3) == []
+    del found["q r s"]
+    assert A.cover(found, 3) == ["a b c"]
+
+
+def test_fit_learns_what_judgements_share(spark):
+    """A frame that no general lexicon knows is learned, spellings of it are found, and harmless, split and empty judgements teach nothing."""
+    docs = [(i, f"Some note number {i}. Zorblings of team {i % 3} must eat their soup alone tonight. Fine." if i < 8 else f"Some note number {i}. We eat our soup.") for i in range(40)]
+    d = spark.createDataFrame([*docs, (99, None)], "doc_id long, text string")
+    labels = [(i, int(i < 8), "hateful" if i < 8 else "none") for i in range(30)] + [(20, 1, "abusive"), (99, 1, "abusive"), (None, 1, "abusive"), (500, 1, "sexual")]
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int, category string")
+    learned = A.fit(d, lab)
+    assert learned and {c for _, c in learned} == {"hateful"} and not [p for p, _ in learned if "note" in p]
+    got = A.score(d.union(spark.createDataFrame([(100, "Zorblings of team 9 mu5t e4t their s.o.u.p alone tonight")], d.schema)), keep=(), learned=learned)
+    assert {r.doc_id for r in got.where("abusive_sentences > 0").collect()} == {*range(8), 100}
+    assert A.fit(d, lab.limit(0)) == () and A.fit(d.limit(0), lab) == ()
+
+
+def test_accuracy_on_labels_held_out(spark, sf):
+    """Learned from the judgements of even ids, measured on those of odd ids, some of which err."""
     from fathom.sources.tables import table
 
     folder = sf.replace("sf0.001", "sf0.1")
-    labels = table(spark, folder, "abuse_labels").groupBy("doc_id").agg({"toxic": "min"}).withColumnRenamed("min(toxic)", "toxic")
-    got = A.score(table(spark, folder, "documents").join(labels, "doc_id"), keep=("toxic",)).collect()
+    documents, all_labels = table(spark, folder, "documents"), table(spark, folder, "abuse_labels")
+    learned = A.fit(documents, all_labels.where("doc_id % 2 = 0"))
+    labels = all_labels.where("doc_id % 2 = 1").groupBy("doc_id").agg({"toxic": "min"}).withColumnRenamed("min(toxic)", "toxic")
+    got = A.score(documents.join(labels, "doc_id"), keep=("toxic",), learned=learned).collect()
     flagged = [r for r in got if r.abusive_sentences]
     assert sum(r.toxic for r in flagged) / len(flagged) > 0.95
+    # raters call some harmless documents toxic, so that not all judged so can be found
+    assert sum(r.toxic for r in flagged) / sum(r.toxic for r in got) > 0.65
