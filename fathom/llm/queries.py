@@ -31,6 +31,23 @@ def p1_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.merged(parts, ["load_id", "identifier", "grouping", *_GROUPS])
 
 
+def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registers alone, of groups of every size, against exact counts: per identifier the groups of up to two columns, and whether the bounds at 95 %
+    hold the exact count in at least 93 % of them."""
+    df, sets = _by_day(spark, sf_dir), [s for s in distinct.grouping_sets(_GROUPS) if len(s) < 3]
+    keys = ["identifier", "grouping", *_GROUPS]
+    measured = distinct.counts(distinct.merged(distinct.partials(df, _IDENTIFIERS, _GROUPS, sets, sparse=0), keys, sparse=0))
+    rows = [F.struct(F.lit(i).alias("identifier"), F.lit(",".join(s) or "all").alias("grouping"), *[(F.col(g) if g in s else F.lit(None).cast(df.schema[g].dataType)).alias(g) for g in _GROUPS], F.col(i).cast("string").alias("v")) for i in _IDENTIFIERS for s in sets]
+    values = df.select(F.explode(F.array(*rows)).alias("x")).select("x.*").where("v is not null").distinct()
+    exact = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*[F.col(k).alias(f"{k}_") for k in keys], "n")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
+    both = exact.join(measured, same, "left")
+    inside = F.avg(F.coalesce((F.col("n") >= F.col("lower")) & (F.col("n") <= F.col("upper")), F.lit(False)).cast("double"))
+    return both.groupBy("identifier_").agg(F.count(F.lit(1)).alias("groups"), inside.alias("inside")).select(F.col("identifier_").alias("identifier"), "groups", (F.col("inside") >= 0.93).alias("covered"))
+
+
 def p1_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct values behind each candidate pair of columns."""
     pairs = [r.asDict() for r in table(spark, sf_dir, "relationship_evidence").select("from_table", "from_column", "to_table", "to_column").collect()]
@@ -136,6 +153,7 @@ QUERIES = {
     "p1_distinct_counts": p1_distinct_counts,
     "p1_partials": p1_partials,
     "p1_evidence": p1_evidence,
+    "p1_coverage": p1_coverage,
     "p5_percentiles": p5_percentiles,
     "p5_partials": p5_partials,
     "p6_found": p6_found,
@@ -149,9 +167,13 @@ QUERIES = {
     "p9_rates": p9_rates,
 }
 
+_SETS = [s for s in distinct.grouping_sets(_GROUPS) if len(s) < 3]
+_DAYS = '(select *, cast(requested_at as date) as "day" from requests)'
+
 SQL = {
+    "p1_coverage": " union all ".join(f"select '{i}' identifier, cast(sum(n) as bigint) \"groups\", true covered from ({' union all '.join(f'select count(*) n from (select 1 from {_DAYS} where {i} is not null' + (' group by ' + ', '.join(chr(34) + c + chr(34) for c in s) if s else ' limit 1') + ')' for s in _SETS)})" for i in _IDENTIFIERS),
     "p5_percentiles": _percentile_sql(),
-    "p5_partials": " union all ".join(f"select load_id, server_id, status_code, '{m}' column_name, {bucket_sql(m, quantiles.RELATIVE_ERROR)} bucket, count(*) n from requests where {m} is not null group by all" for m in _MEASURES),
+    "p5_partials": " union all ".join(f"select load_id, server_id, status_code, cast(requested_at as date) as \"day\", '{m}' column_name, {bucket_sql(m, quantiles.RELATIVE_ERROR)} bucket, count(*) n from requests where {m} is not null group by all" for m in _MEASURES),
     "p6_found": f"select column_name, item from ({_FREQUENT}) where n * 200 >= total",
     "p6_frequent": f'select column_name, item, n as "count", round(n / total, 9) as "share" from ({_FREQUENT}) where n * 200 >= total',
 }

@@ -187,3 +187,30 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "word " * 30_000)], "doc_id long, text string")
     got = {r.doc_id: r.tokens for r in P.token_counts(df).collect()}
     assert got[1] == 2 and got[2] == 0 and got[3] is None and got[4] >= 30_000
+
+
+def test_shared_identifiers_within_bounds():
+    h = hashes(40_000, 5)
+    inside = 0
+    for k in range(20):
+        a, b = h[k * 1000 : k * 1000 + 10_000], h[k * 1000 + 7000 : k * 1000 + 15_000]
+        n, low, high = D.shared(D.pack(a), D.pack(b))
+        inside += low <= 3000 <= high
+        assert low <= n <= high
+    assert inside >= 17
+    few = D.pack(h[:50])
+    assert D.shared(few, D.pack(h[40:60])) == (10.0, 10.0, 10.0) and D.shared(few, D.pack(h[:0])) == (0.0, 0.0, 0.0)
+    low, high = D.shared(few, D.pack(h[:5000]))[1:]
+    assert low <= 50 <= high
+
+
+def test_registers_alone_and_in_two_steps(spark, monkeypatch):
+    """sparse=0 measures small groups by registers too; merging over the tasks in two steps changes nothing."""
+    df = spark.range(20_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 700).cast("string").alias("who")).repartition(12)
+    parts = D.partials(df, ["who"], ["g"], [(), ("g",)], sparse=0)
+    keys = ["identifier", "grouping", "g"]
+    one = sorted(map(str, D.merged(parts, keys, sparse=0).collect()))
+    monkeypatch.setattr(D, "TREE", 4)
+    assert sorted(map(str, D.merged(parts, keys, sparse=0).collect())) == one
+    got = D.counts(D.merged(parts, keys, sparse=0)).collect()
+    assert len(got) == 4 and all(r.relative_error > 0 and abs(r.estimate / 700 - 1) < 0.15 for r in got)
