@@ -12,7 +12,7 @@ sentence is the greatest sum within ``WINDOW`` words; a sentence with at least `
 abusive sentences per 100 words.
 
 The lexicon has two parts. The general one is written by hand for four languages and knows no particular data. ``fit`` adds phrases learned from
-judged documents: runs of 3 to 5 words that stand in several documents which all raters called abusive and in next to none that all called
+judged documents: runs of 3 and 4 words that stand in several documents which all raters called abusive and in next to none that all called
 harmless; the fewest that explain the judgements are taken, with the other runs of the same sentences. It reads at most ``JUDGED`` judged documents, those
 of the least hashes, and without judgements the general part works alone.
 
@@ -40,7 +40,7 @@ NEAR = 4
 #: The most that mild hostile predicates count without a group.
 MILD = 0.9
 #: What fit() takes: judged documents at most, words of a phrase, documents that must hold it, and how many of those must be abusive.
-JUDGED, PHRASE, SUPPORT, PRECISION = 20_000, (3, 4, 5), 3, 0.9
+JUDGED, PHRASE, SUPPORT, PRECISION = 20_000, (3, 4), 3, 0.9
 #: Tokens whose folded form a process remembers.
 REMEMBERED = 500_000
 
@@ -133,8 +133,11 @@ ORDINARY = set("moon lose itch horn wore rash lower close puss rat rats clone co
 _MOJIBAKE = re.compile(r"[ÂÃâ][\u0080-ÿŒ-ƒˆ-™]{1,2}")
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e007f]")
 _MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
+#: Patterns over case-folded text, for letters of any alphabet and, faster, for those of ASCII.
 _APART = re.compile(r"(?<![^\W_])(?:[^\W\d_]|[013457@$!])(?:[ ._\-*·]{1,2}(?:[^\W\d_]|[013457@$!])){2,}(?![^\W_])")
-_TOKEN = re.compile(r"[^\W_]*[*@$!€][\w*@$!€]*[\w*]|[^\W_]+(?:['’][^\W_]+)?|[.!?…]+(?=[\s\"'”)*]|$)|\n[ \t]*\n")
+_APART_ASCII = re.compile(r"(?<![a-z0-9])[a-z013457@$!](?:[ ._\-*]{1,2}[a-z013457@$!]){2,}(?![a-z0-9])")
+_TOKEN = re.compile(r"[^\W_]++(?:['’][^\W_]++)?+(?![*@$!€])|[^\W_]*[*@$!€][\w*@$!€]*[\w*]|[^\W_]+(?:['’][^\W_]+)?|[.!?…]+(?=[\s\"'”)*]|$)|\n[ \t]*\n")
+_TOKEN_ASCII = re.compile(r"[a-z0-9]++(?:'[a-z0-9]++)?+(?![*@$!])|[a-z0-9]*[*@$!][a-z0-9_*@$!]*[a-z0-9_*]|[a-z0-9]+(?:'[a-z0-9]+)?|[.!?]+(?=[\s\"')*]|$)|\n[ \t]*\n")
 _DRAWN = re.compile(r"(.)\1{2,}")
 _DOUBLE = re.compile(r"(.)\1+")
 
@@ -290,7 +293,8 @@ class Lexicon:
         text = text.casefold()
         if not text.isascii():
             text = text.translate(LOOKALIKES)
-        return [self.folded[t] for t in _TOKEN.findall(_APART.sub(self._joined, text))]
+        apart, token = (_APART_ASCII, _TOKEN_ASCII) if text.isascii() else (_APART, _TOKEN)
+        return [self.folded[t] for t in token.findall(apart.sub(self._joined, text))]
 
     def _joined(self, m: re.Match) -> str:
         """Letters set apart, put together where they spell a lexicon word; a long row of letters is read once."""
@@ -314,9 +318,9 @@ class Lexicon:
         words = self.fold(text)
         line = f" {' '.join(words)} "
         found = [(end, *hit) for end, hit in self.automaton.iter(line) if hit[0] != "you"]
-        stops = [i for i, w in enumerate(words) if w == "."]
         if not found:
-            return len(words) - len(stops), []
+            return len(words) - words.count("."), []
+        stops = [i for i, w in enumerate(words) if w == "."]
         # sentences in letters and in words
         cuts, at = [], 1
         for i, w in enumerate(words):
@@ -472,27 +476,35 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     agreed = votes.where("low = high").select("d", (F.col("low") > 0).alias("bad"), F.coalesce("c", F.lit("abusive")).alias("c")).orderBy(F.xxhash64("d"), "d").limit(judged)
     texts = documents.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t")).join(F.broadcast(agreed), "d")
 
+    def counted(batches: Iterator[pd.DataFrame], among=None) -> Iterator[pd.DataFrame]:
+        """The different phrases of each document, or those of them looked for."""
+        for b in batches:
+            held = ({p for _, p in _phrases(t, sizes)} for t in b["t"])
+            yield pd.DataFrame({"p": [p for h in held for p in (h if among is None else h & among.value)]})
+
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = {(d, k, p, c) for d, t, c in zip(b["d"], b["t"], b["c"], strict=True) for k, p in _phrases(t, sizes)}
-            yield pd.DataFrame(list(rows), columns=["d", "k", "p", "c"])
+            rows = {(p, d, k, c) for d, t, c in zip(b["d"], b["t"], b["c"], strict=True) for k, p in _phrases(t, sizes) if p in shared.value}
+            yield pd.DataFrame(list(rows), columns=["p", "d", "k", "c"])
 
-    kind = dict(documents.dtypes)[doc_id]
-    long = texts.where("bad").mapInPandas(places, f"d {kind}, k long, p string, c string")
-    often = long.groupBy("p").agg(F.count_distinct("d").alias("n"), F.collect_set(F.struct("d", "k", "c")).alias("at")).where(F.col("n") >= support).collect()
+    spark, kind = documents.sparkSession, dict(documents.dtypes)[doc_id]
+    bad = texts.where("bad").dropDuplicates(["d"])
+    many = bad.mapInPandas(counted, "p string").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
+    often = {r.p: r.n for r in many.collect()}
     if not often:
         return ()
-    shared = documents.sparkSession.sparkContext.broadcast({r.p for r in often})
-
-    def misses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [p for t in b["t"] for p in {p for _, p in _phrases(t, sizes)} & shared.value]
-            yield pd.DataFrame({"p": rows})
-
-    harmless = {r.p: r.n for r in texts.where("not bad").mapInPandas(misses, "p string").groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    good = {r.p: r for r in often if r.n >= precision * (r.n + harmless.get(r.p, 0))}
-    chosen = cover({p: {(x.d, x.k) for x in r["at"]} for p, r in good.items()}, support)
-    return tuple((p, Counter(sorted(x.c for x in good[p]["at"])).most_common(1)[0][0]) for p in chosen)
+    looked = spark.sparkContext.broadcast(frozenset(often))
+    harmless = texts.where("not bad").dropDuplicates(["d"]).mapInPandas(lambda b: counted(b, looked), "p string").groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    for r in harmless.collect():
+        if often[r.p] < precision * (often[r.p] + r.n):
+            del often[r.p]
+    shared = spark.sparkContext.broadcast(frozenset(often))
+    at: dict[str, set[tuple]] = {p: set() for p in often}
+    kinds: dict[str, Counter] = {p: Counter() for p in often}
+    for r in bad.mapInPandas(places, f"p string, d {kind}, k long, c string").collect():
+        at[r.p].add((r.d, r.k))
+        kinds[r.p][r.c] += 1
+    return tuple((p, max(sorted(kinds[p]), key=kinds[p].get)) for p in cover(at, support))
 
 
 def rates(scored: DataFrame, by: str = "source") -> DataFrame:
