@@ -1,10 +1,16 @@
 """Column-level data quality: profiles per load, character-class masks, and departures from a stored profile.
 
 The backbone is the mask table: every value is generalised to a mask of character classes (``Ab-12`` to ``Aa-9``), and
-one pass with map-side combine counts rows per (load, column, mask), with the rows that match the column's pattern. Null and
-empty values keep masks of their own (null and ''), so null rates, empty string rates, pattern rates, dominant masks, rare-mask
-violations and the divergence between loads are all sums over this table, whose size follows the number of masks and
-not of rows. Distinct counts shuffle 64-bit hashes once; medians are counted in logarithmic buckets, or, against a
+one pass with map-side combine counts rows per (load, column, mask). Null and empty values keep masks of their own (null and ''), so
+null rates, empty string rates, dominant masks, rare-mask violations and the divergence between loads are all sums over this table, whose size
+follows the number of masks and not of rows.
+
+How much a mask keeps depends on what is asked of it (``generaliser``). The dominant and rare masks of a column keep classes and what stands between
+them. A stored pattern that speaks of whole classes only is decided on masks, once for each and not for each value: on masks that
+keep lengths where the pattern counts characters, else on shorter ones. Other patterns, as of hexadecimal digits, tell apart texts
+of one mask and are decided on values; columns without pattern keep a mark for any value.
+
+Distinct counts shuffle 64-bit hashes once; medians are counted in logarithmic buckets, or, against a
 stored median, decided exactly from counts below and above the limits, so no group is ever sorted or held in one task.
 
 Defined cases: the mask of a null is null and takes part in no rate but the null rate; a rate over no rows is null and
@@ -15,6 +21,7 @@ with a probability of about 3 %.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,9 +38,65 @@ MEDIAN_ERROR = 0.005
 LIMITS = {"null_rate": 0.08, "empty_string_rate": 0.08, "cardinality_ratio": 0.2, "median": 2.0, "pattern_rate": 0.08, "weights": 0.2}
 
 
+_CLASSES = {"0-9": ("0123456789", "9"), "A-Z": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), "a-z": ("abcdefghijklmnopqrstuvwxyz", "a")}
+
+
+_MEMBERS, _MARKS = "".join(c for c, _ in _CLASSES.values()), "".join(m * len(c) for c, m in _CLASSES.values())
+
+
+def classes(value: Column) -> Column:
+    """A text with each digit and ASCII letter replaced by its class; its length stays."""
+    return F.translate(value, _MEMBERS, _MARKS)
+
+
+def runs(value: Column) -> Column:
+    """``classes`` with each run of a class made one character."""
+    return F.regexp_replace(classes(value), "([9Aa])\\1+", "$1")
+
+
 def mask(value: Column) -> Column:
-    """The character-class mask of a text."""
-    return reduce(lambda c, step: F.regexp_replace(c, step[0], step[1]), MASK_STEPS, value)
+    """The character-class mask of a text: what MASK_STEPS make of it, one after the other."""
+    short = F.regexp_replace(F.translate(value, _MEMBERS + "\t\r\n", _MARKS + "   "), "([9Aa ])\\1+", "$1")
+    return F.regexp_replace(F.regexp_replace(short, MASK_STEPS[3][0], MASK_STEPS[3][1]), MASK_STEPS[5][0], MASK_STEPS[5][1])
+
+
+_ATOM = re.compile(r"(\[(?:[^\]\\]|\\.)+\]|\\?[^\[\](){}*+?|^$.\\]|\\.)([*+?]|\{[0-9,]+\})?")
+
+
+def mask_pattern(pattern: str) -> tuple[str, str] | None:
+    """("runs" or "classes", pattern over such masks) where a pattern speaks of whole classes of characters only, so that it holds of a value if and
+    only if the other holds of its mask; else None. Runs may stand for their class where each class is repeated at will and no two
+    parts in a row share one."""
+    body = pattern.removeprefix("^").removesuffix("$")
+    if not pattern.startswith("^") or body.endswith("\\"):
+        return None
+    at, made, kind, before = 0, "", "runs", set()
+    while at < len(body):
+        m = _ATOM.match(body, at)
+        if not m or m.group(1).startswith("[^"):
+            return None
+        atom, times = m.group(1), m.group(2) or ""
+        inner = atom[1:-1] if atom.startswith("[") else atom.removeprefix("\\")
+        used, rest = set(), inner
+        for name, (_, mark) in _CLASSES.items():
+            if name in rest and atom.startswith("["):
+                rest = rest.replace(name, "", 1)
+                used.add(mark)
+        # part of a class, a range, or an escape, which masks do not keep apart
+        if re.search(r"[A-Za-z0-9\\]", rest) or "-" in rest[1:-1] or not rest.isascii():
+            return None
+        if used and (times not in ("*", "+") or used & before):
+            kind = "classes"
+        marks = "".join(sorted(used)) + rest.replace("-", "") + "-" * ("-" in rest)
+        made += (f"[{marks}]" if atom.startswith("[") else atom) + times
+        before = used | before if times in ("*", "?") or times.startswith("{0") else used
+        at = m.end()
+    return kind, "^" + made + ("$" if pattern.endswith("$") else "")
+
+
+def generaliser(pattern: str | None) -> tuple[str, str | None]:
+    """Which masks decide a pattern, and the pattern on them: "runs", "classes", or "any" with None where values must decide or nothing is asked."""
+    return (pattern and mask_pattern(pattern)) or ("any", None)
 
 
 def mask_sql(value: str) -> str:
@@ -66,25 +129,43 @@ def _mask_of(df: DataFrame, column: str) -> Column:
     return mask(_text(df, column))
 
 
-def mask_counts(df: DataFrame, load: str, columns: list[str], patterns: dict[str, str] | None = None) -> DataFrame:
-    """(load_id, column_name, mask, n, n_match): rows per mask, and those of them that match the column's pattern."""
-    patterns = patterns or {}
-    cells = []
-    for c in columns:
-        match = F.coalesce(F.col(f"`{c}`").cast("string").rlike(patterns[c]), F.lit(False)) if patterns.get(c) else F.lit(False)
-        cells.append(F.struct(F.lit(c).alias("column_name"), _mask_of(df, c).alias("mask"), match.alias("hit")))
+def mask_counts(df: DataFrame, load: str, columns: list[str]) -> DataFrame:
+    """(load_id, column_name, mask, n): rows per mask."""
+    cells = [F.struct(F.lit(c).alias("column_name"), _mask_of(df, c).alias("mask")) for c in columns]
     long = df.select(F.col(f"`{load}`").alias("load_id"), F.explode(F.array(*cells)).alias("cell"))
-    return long.groupBy("load_id", "cell.column_name", "cell.mask").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("cell.hit"), 1)).alias("n_match"))
+    return long.groupBy("load_id", "cell.column_name", "cell.mask").agg(F.count(F.lit(1)).alias("n"))
+
+
+def generalised(df: DataFrame, load: str, patterns: dict[str, str | None], valued: list[str] = []) -> DataFrame:  # noqa: B006
+    """(load_id, column_name, mask, hit, n): rows per mask, for each column by the generaliser of its pattern. ``hit`` is whether the pattern holds,
+    null where there is none. Columns in ``valued`` are counted a second time, as ``column_name`` with "=" behind it, by their values as text."""
+    cells = []
+    for c, pattern in patterns.items():
+        kind, _ = generaliser(pattern)
+        text, col = F.col(f"`{c}`").cast("string"), F.col(f"`{c}`")
+        plain = text if _is_text(df, c) else F.lit("*")
+        mark = {"runs": runs(text), "classes": classes(text)}.get(kind, F.when(plain == "", "").otherwise("*"))
+        hit = text.rlike(pattern) if pattern and kind == "any" else F.lit(None).cast("boolean")
+        cells.append(F.struct(F.lit(c).alias("column_name"), F.when(col.isNotNull(), mark).alias("mask"), hit.alias("hit")))
+    cells += [F.struct(F.lit(f"{c}=").alias("column_name"), _text(df, c).alias("mask"), F.lit(None).cast("boolean").alias("hit")) for c in valued]
+    long = df.select(F.col(f"`{load}`").alias("load_id"), F.explode(F.array(*cells)).alias("cell")).select("load_id", "cell.*")
+    counted = long.groupBy("load_id", "column_name", "mask", "hit").agg(F.count(F.lit(1)).alias("n"))
+    decided = F.col("hit")
+    for c, pattern in patterns.items():
+        _, on_mask = generaliser(pattern)
+        if on_mask:
+            decided = F.when(F.col("column_name") == c, F.col("mask").rlike(on_mask)).otherwise(decided)
+    return counted.withColumn("hit", decided)
 
 
 def mask_rates(masks: DataFrame) -> DataFrame:
-    """(load_id, column_name, rows, nulls, empties, matches) from mask_counts."""
+    """(load_id, column_name, rows, nulls, empties, matches) from ``generalised``."""
     full = F.col("mask").isNotNull() & (F.col("mask") != "")
     return masks.groupBy("load_id", "column_name").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(F.col("mask").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
         F.sum(F.when(F.col("mask") == "", F.col("n")).otherwise(0)).alias("empties"),
-        F.sum(F.when(full, F.col("n_match")).otherwise(0)).alias("matches"),
+        F.sum(F.when(full & F.col("hit"), F.col("n")).otherwise(0)).alias("matches"),
     )
 
 
@@ -106,15 +187,42 @@ def mask_report(masks: DataFrame, rare: float = 0.005) -> DataFrame:
 
 
 def mask_divergence(masks: DataFrame) -> DataFrame:
-    """(column_name, load_id, values, rare_rows, divergence): the total variation distance of each load's mask distribution
-    from that of all loads together, between 0 and 1, and the rows whose mask is rare. Masks a load lacks count by what
-    the others give them, which needs no cross product: half the sum of |p - q| is 1 minus the sum of min(p, q)."""
-    r = mask_report(masks)
-    return r.groupBy("column_name", "load_id").agg(
+    """(column_name, load_id, values, rare_rows, divergence, divergence_previous): the total variation distance of each load's mask distribution
+    from that of all loads together and from that of the load before (null for the first), between 0 and 1, and the rows whose mask is rare. Masks
+    a load lacks count by what the others give them, which needs no cross product: half the sum of |p - q| is 1 minus the sum of min(p, q)."""
+    full = checkpoint(mask_report(masks))  # its size follows the number of masks
+    # loads in order, null first; at most as many rows as columns times loads
+    loads = full.select("column_name", "load_id").distinct()
+    order = W.partitionBy("column_name").orderBy(F.col("load_id").asc_nulls_first())
+    numbered = loads.select(F.col("column_name").alias("c_"), F.col("load_id").alias("l_"), F.row_number().over(order).alias("at"))
+    r = full.join(numbered, (F.col("column_name") == F.col("c_")) & F.col("load_id").eqNullSafe(F.col("l_"))).drop("c_", "l_")
+    # the share that the load before gives the same mask
+    before = r.select("column_name", "mask", (F.col("at") + 1).alias("at"), F.col("share").alias("share_before"))
+    r = r.join(before, ["column_name", "mask", "at"], "left")
+    return r.groupBy("column_name", "load_id", "at").agg(
         F.sum("n").alias("values"),
         F.sum(F.when(F.col("is_rare"), F.col("n")).otherwise(0)).alias("rare_rows"),
         (F.lit(1.0) - F.sum(F.least("share", "share_all"))).alias("divergence"),
-    )
+        (F.lit(1.0) - F.sum(F.least(F.col("share"), F.coalesce("share_before", F.lit(0.0))))).alias("gap"),
+    ).select("column_name", "load_id", "values", "rare_rows", "divergence", F.when(F.col("at") > 1, F.col("gap")).alias("divergence_previous"))
+
+
+def dominant_masks(masks: DataFrame, rare: float = 0.005) -> DataFrame:
+    """(column_name, mask, n, share, rank): the masks that make up at least ``rare`` of the non-null, non-empty values of a column over all loads, so at
+    most 1 / ``rare`` of a column; equal ones share a rank."""
+    counts = masks.where("mask is not null and mask <> ''").groupBy("column_name", "mask").agg(F.sum("n").alias("n"))
+    total = counts.groupBy("column_name").agg(F.sum("n").alias("total"))  # one row per column
+    shared = counts.join(F.broadcast(total), "column_name").withColumn("share", F.col("n") / F.col("total")).where(F.col("n") >= F.lit(rare) * F.col("total"))
+    return shared.select("column_name", "mask", "n", "share", F.rank().over(W.partitionBy("column_name").orderBy(F.col("n").desc())).alias("rank"))
+
+
+def violations(df: DataFrame, load: str, key: str, columns: list[str], rare: float = 0.005) -> DataFrame:
+    """(load_id, row_key, column_name, value, mask): the values whose mask is not among the dominant ones of their column. Those are at most
+    1 / ``rare`` a column, which bounds what is broadcast; rows with a dominant mask end in the pass that reads them."""
+    common = checkpoint(dominant_masks(mask_counts(df, load, columns), rare).select("column_name", "mask"))
+    cells = [F.struct(F.lit(c).alias("column_name"), _text(df, c).alias("value"), _mask_of(df, c).alias("mask")) for c in columns]
+    long = df.select(F.col(f"`{load}`").alias("load_id"), F.col(f"`{key}`").alias("row_key"), F.explode(F.array(*cells)).alias("x")).select("load_id", "row_key", "x.*")
+    return long.where("mask is not null and mask <> ''").join(F.broadcast(common), ["column_name", "mask"], "left_anti").select("load_id", "row_key", "column_name", "value", "mask")
 
 
 def distinct_counts(df: DataFrame, load: str, columns: list[str]) -> DataFrame:
@@ -201,8 +309,11 @@ def departures(df: DataFrame, load: str, stored: list[dict], limits: dict[str, f
 
     patterns = {s["column_name"]: s["pattern"] for s in stored if s.get("pattern") and s.get("pattern_rate") is not None}
     counted = [s["column_name"] for s in stored if any(s["column_name"] in has(m) for m in ("null_rate", "empty_string_rate", "pattern_rate"))]
+    weights = {s["column_name"]: dict(s["weights"]) for s in stored if s.get("weights")}
+    # one pass counts masks and the values that have weights; as a table its size follows the number of masks
+    seen = checkpoint(generalised(df, load, {c: patterns.get(c) for c in counted}, list(weights))) if counted or weights else None
     if counted:
-        rates = mask_rates(mask_counts(df, load, counted, patterns))
+        rates = mask_rates(seen.where(F.col("column_name").isin(counted)))
         # one row per load and column, told apart by metric afterwards, so the masks are counted once
         metric_rows = []
         for metric, top, bottom, low in (("null_rate", F.col("nulls"), F.col("rows"), False), ("empty_string_rate", F.col("empties"), F.col("rows"), False), ("pattern_rate", F.col("matches"), F.col("rows") - F.col("nulls") - F.col("empties"), True)):
@@ -246,11 +357,9 @@ def departures(df: DataFrame, load: str, stored: list[dict], limits: dict[str, f
         per_load = df.groupBy(F.col(f"`{load}`").alias("load_id")).agg(*aggs)
         out.append(per_load.select("load_id", F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.column_name", "load_id", "x.metric", "x.measured", "x.stored"))
 
-    weights = {s["column_name"]: dict(s["weights"]) for s in stored if s.get("weights")}
     if weights:
-        cells = [F.struct(F.lit(c).alias("column_name"), _text(df, c).alias("item")) for c in weights]
-        long = df.select(F.col(f"`{load}`").alias("load_id"), F.explode(F.array(*cells)).alias("x")).select("load_id", "x.*").where("item is not null")
-        counts = long.groupBy("load_id", "column_name", "item").agg(F.count(F.lit(1)).alias("n"))
+        marked = F.create_map(*[F.lit(x) for c in weights for x in (f"{c}=", c)])[F.col("column_name")]
+        counts = seen.where(F.col("mask").isNotNull()).select("load_id", marked.alias("column_name"), F.col("mask").alias("item"), "n").where("column_name is not null")
         known = spark.createDataFrame([(c, k, float(w)) for c, ws in weights.items() for k, w in ws.items()], "column_name string, item string, w double")
         totals = F.create_map(*[F.lit(x) for c, ws in weights.items() for x in (c, float(sum(ws.values())))])[F.col("column_name")]
         # sum |p - w| over the union = sum over values present of (|p - w| - w) + sum of all w
@@ -265,4 +374,4 @@ def departures(df: DataFrame, load: str, stored: list[dict], limits: dict[str, f
     return reduce(DataFrame.unionByName, out)
 
 
-__all__ = ["bucket_medians", "bucket_sql", "departures", "distinct_counts", "mask", "mask_counts", "mask_divergence", "mask_report", "mask_sql", "profile", "value_sql"]
+__all__ = ["bucket_medians", "bucket_sql", "departures", "distinct_counts", "dominant_masks", "generalised", "mask", "mask_counts", "mask_divergence", "mask_report", "mask_sql", "profile", "value_sql", "violations"]

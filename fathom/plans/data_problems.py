@@ -108,10 +108,10 @@ def _masks(df: DataFrame) -> DataFrame:
 
 
 def p4_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rare masks and mask divergence per column and load."""
+    """Rare masks per column and load, and how far its masks are from those of all loads and of the load before."""
     out = None
     for name in PROFILED:
-        got = quality.mask_divergence(_masks(table(spark, sf_dir, name))).select(F.lit(name).alias("table_name"), "column_name", "load_id", "values", "rare_rows", F.round("divergence", 6).alias("divergence"))
+        got = quality.mask_divergence(_masks(table(spark, sf_dir, name))).select(F.lit(name).alias("table_name"), "column_name", "load_id", "values", "rare_rows", F.round("divergence", 6).alias("divergence"), F.round("divergence_previous", 6).alias("divergence_previous"))
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -126,6 +126,25 @@ def p4_mask_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def p4_dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dominant masks of each column over all loads."""
+    out = None
+    for name in PROFILED:
+        got = quality.dominant_masks(_masks(table(spark, sf_dir, name))).select(F.lit(name).alias("table_name"), "column_name", "mask", "n", F.round("share", 6).alias("share"), "rank")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def p4_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of rare masks, with the key of their row."""
+    out = None
+    for name in PROFILED:
+        df = table(spark, sf_dir, name)
+        got = quality.violations(df, "load_id", ROW_KEYS[name], [c for c in df.columns if c != "load_id"]).select(F.lit(name).alias("table_name"), "*")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 # The text columns of the two profiled tables.
 _MASKED = {"requests": ["client_id", "method", "path", "user_agent"], "customers": ["FirstName", "LastName", "Company", "City", "Country", "PostalCode", "Phone", "Email"]}
 
@@ -191,15 +210,54 @@ def _departure_sql() -> str:
     )
 
 
+def _mask_sql(name: str, c: str) -> str:
+    if c in _NUMBERS[name]:
+        return f"case when {c} < 0 then '-' else '' end || case when isnan(cast({c} as double)) then 'NaN' when {c} = floor({c}) then '9' else '9.9' end"
+    return quality.mask_sql(f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')" if c in _TIMES[name] else c)
+
+
+def _all_masks_sql(extra: str = "", value: str = "") -> str:
+    """Rows per load, column and mask, or with ``extra`` columns of each value."""
+    parts = []
+    for n in PROFILED:
+        for c in _NUMBERS[n] + _TIMES[n] + _MASKED[n]:
+            text = f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')" if c in _TIMES[n] else f"cast({c} as varchar)"
+            full = f"{c} <> ''" if c in _MASKED[n] else f"{c} is not null"
+            more = f", {ROW_KEYS[n]} row_key, {text} as \"value\"" if value else ""
+            parts.append(f"select '{n}' table_name, '{c}' column_name, load_id, {_mask_sql(n, c)} mask{more or ', count(*) n'} from {n} where {full}" + ("" if value else " group by all"))
+    return " union all ".join(parts)
+
+
 def _masks_sql() -> str:
-    parts = [f"select '{n}' table_name, '{c}' column_name, load_id, {quality.mask_sql(c)} mask, count(*) n from {n} where {c} <> '' group by all" for n, cs in _MASKED.items() for c in cs]
     return (
-        f"with m as ({' union all '.join(parts)}), s as (select *, n / sum(n) over (partition by table_name, column_name, load_id) p, sum(n) over (partition by table_name, column_name, mask) / sum(n) over (partition by table_name, column_name) q from m)"
-        ' select table_name, column_name, load_id, cast(sum(n) as bigint) "values", cast(sum(case when q < 0.005 then n else 0 end) as bigint) rare_rows, round(1.0 - sum(least(p, q)), 6) divergence from s group by all'
+        f"with m as ({_all_masks_sql()}), s as (select *, n / sum(n) over (partition by table_name, column_name, load_id) p, sum(n) over (partition by table_name, column_name, mask) / sum(n) over (partition by table_name, column_name) q,"
+        " dense_rank() over (partition by table_name, column_name order by load_id nulls first) k from m)"
+        ' select a.table_name, a.column_name, a.load_id, cast(sum(a.n) as bigint) "values", cast(sum(case when a.q < 0.005 then a.n else 0 end) as bigint) rare_rows, round(1.0 - sum(least(a.p, a.q)), 6) divergence,'
+        " case when max(a.k) > 1 then round(1.0 - sum(least(a.p, coalesce(b.p, 0))), 6) end divergence_previous"
+        " from s a left join s b on b.table_name = a.table_name and b.column_name = a.column_name and b.mask = a.mask and b.k = a.k - 1 group by a.table_name, a.column_name, a.load_id"
+    )
+
+
+def _report_sql() -> str:
+    return (
+        f"with m as ({_all_masks_sql()}), s as (select *, n / sum(n) over (partition by table_name, column_name, load_id) p, sum(n) over (partition by table_name, column_name, mask) / sum(n) over (partition by table_name, column_name) q,"
+        " max(n) over (partition by table_name, column_name, load_id) top from m) select table_name, column_name, load_id, mask, n, round(p, 6) as \"share\", round(q, 6) share_all, n = top is_dominant, q < 0.005 is_rare from s"
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_orphan_counts": p2_orphan_counts, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p4_found": p4_found, "p4_profile": p4_profile, "p4_masks": p4_masks, "p4_mask_report": p4_mask_report}
+def _dominant_sql() -> str:
+    return (
+        f"with m as ({_all_masks_sql()}), s as (select table_name, column_name, mask, cast(sum(n) as bigint) n, sum(n) / sum(sum(n)) over (partition by table_name, column_name) p from m group by 1, 2, 3)"
+        ' select table_name, column_name, mask, n, round(p, 6) as "share", cast(rank() over (partition by table_name, column_name order by n desc) as int) as "rank" from s where p >= 0.005'
+    )
+
+
+def _violations_sql() -> str:
+    keep = f"select table_name, column_name, mask from ({_dominant_sql()})"
+    return f"select table_name, load_id, row_key, column_name, \"value\", mask from ({_all_masks_sql(value='value')}) v where not exists (select 1 from ({keep}) k where k.table_name = v.table_name and k.column_name = v.column_name and k.mask = v.mask)"
+
+
+QUERIES = {"p2_found": p2_found, "p2_orphan_counts": p2_orphan_counts, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p4_found": p4_found, "p4_profile": p4_profile, "p4_masks": p4_masks, "p4_mask_report": p4_mask_report, "p4_dominant": p4_dominant, "p4_violations": p4_violations}
 
 SQL = {
     "p2_found": _orphan_sql("select distinct child_table, child_column, child_key from o"),
@@ -212,4 +270,7 @@ SQL = {
     "p4_found": _departure_sql(),
     "p4_profile": _profile_sql(),
     "p4_masks": _masks_sql(),
+    "p4_mask_report": _report_sql(),
+    "p4_dominant": _dominant_sql(),
+    "p4_violations": _violations_sql(),
 }

@@ -57,8 +57,51 @@ def test_profile(spark):
 
 def test_divergence(spark):
     rows = [(1, "ab", 0.0, 0)] * 90 + [(2, "ab", 0.0, 0)] * 90 + [(3, "12", 0.0, 0)] * 20
-    got = {r.load_id: (r.values, round(r.divergence, 3)) for r in Q.mask_divergence(Q.mask_counts(frame(spark, rows), "load_id", ["name"])).collect()}
-    assert got == {1: (90, 0.1), 2: (90, 0.1), 3: (20, 0.9)}
+    got = {r.load_id: (r.values, round(r.divergence, 3), r.divergence_previous) for r in Q.mask_divergence(Q.mask_counts(frame(spark, rows), "load_id", ["name"])).collect()}
+    assert got == {1: (90, 0.1, None), 2: (90, 0.1, 0.0), 3: (20, 0.9, 1.0)}
+
+
+def test_masks_are_their_steps(spark):
+    import re
+
+    rnd = random.Random(2)
+    values = ["".join(rnd.choice("ab Zq9\t\n-.é世x4") for _ in range(rnd.randrange(12))) for _ in range(300)]
+
+    def steps(v):
+        for p, m in Q.MASK_STEPS:
+            v = re.sub(p, m, v)
+        return v
+
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", Q.mask(F.col("v"))).collect()
+    assert all(m == steps(v) for v, m in got)
+
+
+PATTERNS = ["^[A-Z]+$", "^/[a-z0-9/_?=&.-]*$", "^[A-Za-z]+/[0-9]+[.][0-9]+", "^[+][0-9]{2} [0-9]{3}$", "^[0-9]{5}$", "^[a-z]+[a-z0-9]+$", "^[a-z]*-?[a-z]+$", "^[a-z]$", "^[a-z-_]+$", "^[0-9]?[A-Z]{2,3}$"]
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_patterns_on_masks_hold_of_the_same_values(spark, pattern):
+    kind, on_mask = Q.mask_pattern(pattern)
+    rnd = random.Random(pattern)
+    values = ["".join(rnd.choice("abAB12/-_.+ \t\n") for _ in range(rnd.randrange(9))) for _ in range(800)] + ["AB", "/a1.b", "Ab/12.3", "+12 345", "+12\t345", "12345", "aa", "a1", "a-b", "AB\n", "1AB", "é"]
+    masked = {"runs": Q.runs, "classes": Q.classes}[kind](F.col("v"))
+    bad = spark.createDataFrame([(v,) for v in values], "v string").where(F.col("v").rlike(pattern) != masked.rlike(on_mask)).collect()
+    assert bad == []
+
+
+@pytest.mark.parametrize("pattern", ["^[0-9a-f]{16}$", "^a+$", "abc", "^.+$", "^[^x]+$", "^(ab)+$", r"^\d+$", r"^[\w]+$", "^a|b$", None])
+def test_patterns_that_masks_do_not_decide(pattern):
+    assert Q.generaliser(pattern) == ("any", None)
+
+
+def test_dominant_and_rare(spark):
+    rows = [(1, "ab", 1.0, i) for i in range(300)] + [(2, "12", 1.0, 300), (None, "", -1.0, 301), (2, None, None, 302)]
+    df = frame(spark, rows)
+    top = {(r.column_name, r["mask"], r.n, r["rank"]) for r in Q.dominant_masks(Q.mask_counts(df, "load_id", ["name", "x"])).collect()}
+    assert top == {("name", "a", 300, 1), ("x", "9", 301, 1)}
+    got = {(r.load_id, r.row_key, r.column_name, r.value, r["mask"]) for r in Q.violations(df, "load_id", "k", ["name", "x"]).collect()}
+    assert got == {(2, 300, "name", "12", "9"), (None, 301, "x", "-1.0", "-9")}
+    assert Q.violations(df.limit(0), "load_id", "k", ["name", "x"]).collect() == []
 
 
 def test_mask_report_keeps_null_loads(spark):
