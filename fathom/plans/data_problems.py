@@ -48,7 +48,9 @@ def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _forest(spark, sf_dir).where("cycle_id is not null").select(F.col("id").alias("employee_id"), "cycle_id")
+    rows = table(spark, sf_dir, "employees").select("employeeID", "loaded_at", "reportsTo")
+    found = hierarchy.roots(references.latest_rows(rows, "employeeID", "loaded_at"), "employeeID", "reportsTo", circles_only=True)
+    return found.select(F.col("id").alias("employee_id"), "cycle_id")
 
 
 def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,10 @@ def check(spark, links):
     df = spark.createDataFrame([(a, b, "x", 1) for a, b in links], "id long, parent long, up string, trail int")
     got = {r.id: (r.root, r.depth, list(r.trail) if r.cycle_id is None else None, r.cycle_id, r.on_cycle) for r in H.forest(df, "id", "parent").collect()}
     assert got == brute(links)
+    want = {k: (v[0], v[1], v[3]) for k, v in got.items()}
+    for local in (3, 10_000):  # contracted nearly to the end, and followed in one task
+        assert {r.id: (r.root, r.depth, r.cycle_id) for r in H.roots(df, "id", "parent", local=local).collect()} == want
+    assert {r.id: r.cycle_id for r in H.roots(df, "id", "parent", circles_only=True, local=0).collect()} == {k: v[2] for k, v in want.items() if v[2] is not None}
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -48,7 +52,8 @@ def test_nulls_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, 1), (1, None), (1, None), (2, 1), (2, 1), (3, 77)], "id long, parent long")
     got = {r.id: (r.root, r.depth) for r in H.forest(df, "id", "parent").collect()}
     assert got == {1: (1, 0), 2: (1, 1), 3: (3, 0)}
-    assert H.forest(df.limit(0), "id", "parent").collect() == []
+    assert {r.id: (r.root, r.depth) for r in H.roots(df, "id", "parent").collect()} == got
+    assert H.forest(df.limit(0), "id", "parent").collect() == [] and H.roots(df.limit(0), "id", "parent").collect() == []
 
 
 def test_descendants(spark):
