@@ -14,6 +14,7 @@ from pathlib import Path
 
 from fathom.operators.generate.columns import GENERATORS
 from fathom.operators.generate.engine import SPARK_TYPES, dependencies, layers
+from fathom.operators.generate.wholes import WHOLES
 
 SQL_TYPES = {"bool": "BOOLEAN", "int": "BIGINT", "int32": "INTEGER", "float": "DOUBLE", "string": "VARCHAR", "uuid": "VARCHAR", "date": "DATE", "datetime": "TIMESTAMP", "time": "BIGINT", "duration": "BIGINT", "bytes": "BLOB"}
 
@@ -68,7 +69,7 @@ def validate(model: dict) -> list[str]:
             if spec.get("type", "string") not in SPARK_TYPES and spec.get("type") not in ("array", "map", "object"):
                 errors.append(f"{n}.{f}: unknown type {spec['type']}")
             g = spec.get("generator")
-            if g and g.get("type") not in GENERATORS:
+            if g and g.get("type") not in GENERATORS and g.get("type") not in WHOLES:
                 errors.append(f"{n}.{f}: unknown generator {g.get('type')}")
             if g and g.get("type") == "fk" and g.get("parent") not in tables:
                 errors.append(f"{n}.{f}: unknown parent {g.get('parent')}")

@@ -26,6 +26,7 @@ class Context:
     portable: bool = False
     schema: object = None
     parents: dict = field(default_factory=dict)
+    model: dict = field(default_factory=dict)
 
     @property
     def rng(self) -> Rng:
@@ -37,14 +38,26 @@ class Context:
 
 @dataclass(frozen=True)
 class Keys:
-    """A parent's dense keys: the key of its row i is ``start + step * i``, with a prefix for texts. Child keys need no join."""
+    """A parent's keys by row number. The key of row i is ``start + step * i``, with a prefix for texts, or what ``maker`` makes of i where the key's
+    generator looks at its row only. Child keys then need no join. Keys that are ``joined`` follow no such rule and are looked up."""
 
     rows: int
     start: int = 1
     step: int = 1
     prefix: str | None = None
+    maker: Callable[[Column], Column] | None = None
+    joined: bool = False
+
+    @property
+    def plain(self) -> bool:
+        """Whether a row number follows from its key by arithmetic."""
+        return self.prefix is None and self.maker is None and not self.joined
 
     def at(self, index: Column) -> Column:
+        if self.joined:
+            raise ValueError("these keys are looked up, not computed")
+        if self.maker:
+            return self.maker(index)
         n = F.lit(self.start).cast("long") + F.lit(self.step) * index
         return F.concat(F.lit(self.prefix), n.cast("string")) if self.prefix is not None else n
 
@@ -163,7 +176,7 @@ def make(ctx: Context, spec: dict, branch: str = "") -> Column:
     kind = options.pop("type")
     if kind not in GENERATORS:
         raise ValueError(f"unknown generator {kind}")
-    inner = Context(ctx.seed, ctx.entity, f"{ctx.name}.{branch}" if branch else ctx.name, ctx.rows, ctx.row, ctx.portable, ctx.schema, ctx.parents)
+    inner = Context(ctx.seed, ctx.entity, f"{ctx.name}.{branch}" if branch else ctx.name, ctx.rows, ctx.row, ctx.portable, ctx.schema, ctx.parents, ctx.model)
     return GENERATORS[kind](inner, **options)
 
 
@@ -182,9 +195,18 @@ def struct(ctx: Context, fields: dict | None = None) -> Column:
 
 @generator("dictionary")
 def dictionary(ctx: Context, values: list = (), mode: str = "sample") -> Column:
-    """Values of a list: sampled, or each in turn in a shuffled order with a number added once the list is used up (suffix)."""
+    """Values of a list: sampled, or each in turn in a shuffled order with a number added once the list is used up (suffix). In mode combinatorial the
+    values are lists whose combinations come once each, joined by blanks, and then with a number."""
     if mode == "sample":
         return ctx.rng.pick(list(values), ctx.name)
+    if mode == "combinatorial":
+        total = math.prod(len(v) for v in values)
+        lap, place, parts = F.floor(ctx.row / total).cast("long"), _scattered(ctx, ctx.row % total, total), []
+        for v in values:
+            parts.append(F.element_at(F.array(*[F.lit(x) for x in v]), (place % len(v) + 1).cast("int")))
+            place = F.floor(place / len(v)).cast("long")
+        made = F.concat_ws(" ", *parts)
+        return F.when(lap == 0, made).otherwise(F.concat_ws(" ", made, lap.cast("string")))
     order = sorted(values, key=lambda v: salt(ctx, v))
     base = F.element_at(F.array(*[F.lit(v) for v in order]), (ctx.row % len(order) + 1).cast("int"))
     lap = F.floor(ctx.row / len(order)).cast("long")
@@ -202,11 +224,56 @@ def unique_int(ctx: Context, low: int = 1, high: int = 1_000_000) -> Column:
     span = high - low + 1
     if ctx.rows > span:
         raise ValueError("more rows than different values")
+    return (_scattered(ctx, ctx.row, span) + low).cast("long")
+
+
+def _scattered(ctx: Context, index: Column, span: int) -> Column:
+    """A number in [0, span) for each of as many, one to one."""
     a = salt(ctx, "a") % span or 1
     while math.gcd(a, span) != 1:
         a += 1
     b = salt(ctx, "b") % span
-    return (F.pmod(ctx.row.cast("decimal(38,0)") * a + b, F.lit(span).cast("decimal(38,0)")) + low).cast("long")
+    return F.pmod(index.cast("decimal(38,0)") * a + b, F.lit(span).cast("decimal(38,0)")).cast("long")
+
+
+@generator("junction")
+def junction(ctx: Context, parents: list[str] = (), side: int = 0, pair: str = "pair") -> Column:
+    """One side of a many-to-many link between two parents. Fields with the same ``pair`` belong together; no pair of keys comes twice."""
+    left, right = (ctx.parents[p] for p in parents)
+    total = left.rows * right.rows
+    if ctx.rows > total:
+        raise ValueError("more rows than different pairs")
+    at = _scattered(Context(ctx.seed, ctx.entity, pair, ctx.rows, ctx.row), ctx.row, total)
+    return (left, right)[side].at(F.floor(at / right.rows).cast("long") if side == 0 else at % right.rows)
+
+
+@generator("hierarchy")
+def hierarchy(ctx: Context, max_depth: int = 5) -> Column:
+    """The key of another row of the same table as parent, without circles and at most ``max_depth`` links deep; null at the top."""
+    from fathom.operators.generate.graphs import parent_of
+
+    parent, _ = parent_of(ctx.row, ctx.rows, ctx.rng, max_depth)
+    return F.when(parent.isNotNull(), ctx.parents[ctx.entity].at(parent))
+
+
+@generator("persona_field")
+def persona_field(ctx: Context, field: str = "", trait: str = "", personas: str = "personas") -> Column:
+    """A trait of the persona of another field's actor. Which persona an actor has is a hash of its key, so it is the same in every table."""
+    kinds = ctx.model[personas]
+    names = sorted(kinds)
+    who = Rng(ctx.seed, f"persona:{personas}", F.coalesce(F.col(f"`{field}`").cast("string"), F.lit("")), ctx.portable)
+    place = who.weighted(list(range(1, len(names) + 1)), [float(kinds[n].get("weight", 1.0)) for n in names], "kind")
+    values = [n if trait == "name" else kinds[n]["traits"].get(trait) for n in names]
+    return F.when(F.col(f"`{field}`").isNotNull(), F.element_at(F.array(*[F.lit(v) for v in values]), place.cast("int")))
+
+
+@generator("copula")
+def copula(ctx: Context, family: str = "clayton", theta: float = 2.0, field: str = "") -> Column:
+    """A uniform that depends on the uniform of another field by a Clayton or Frank copula."""
+    from fathom.operators.generate import series
+
+    u, t = F.greatest(F.col(f"`{field}`"), F.lit(1e-12)), F.greatest(ctx.uniform("copula"), F.lit(1e-12))
+    return {"clayton": series.clayton, "frank": series.frank}[family](u, t, theta)
 
 
 # --- references
@@ -344,8 +411,44 @@ FAKES: dict[str, Callable[[Context], Column]] = {
 }
 
 
+#: Other names of kinds of text, and kinds that are picks from short lists.
+ALIASES = {
+    "full_name": "name", "prefix": "name_prefix", "suffix": "name_suffix", "ip_address": "ipv4", "mac_address": "mac", "street_address": "address", "city_name": "city", "zip_code": "zip", "zipcode": "zip", "postal_code": "zip", "catchphrase": "catch_phrase", "credit_card_number": "credit_card", "swift": "bic",
+    "currency_code": "currency", "timestamp": "datetime", "weekday": "day_of_week", "tz": "timezone", "hex_color": "color", "extension": "file_extension", "mime_type": "mime", "content_type": "mime", "lat": "latitude", "lon": "longitude", "lng": "longitude", "geo": "coordinate", "plate": "license_plate", "make": "vehicle_make", "model": "vehicle_model",
+    "isbn": "isbn13", "product_name": "product", "hex_string": "hex",
+}
+_LISTS = {
+    "name_prefix": ["Mr.", "Ms.", "Mx.", "Dr.", "Prof."], "name_suffix": ["Jr.", "Sr.", "II", "III", "PhD"], "country_code": ["AT", "BR", "CA", "DE", "ES", "FR", "GB", "IN", "JP", "US"], "industry": ["Logistics", "Energy", "Retail", "Software", "Farming", "Media", "Mining", "Health"],
+    "buzzword": ["scalable", "modular", "shared", "open", "mobile", "lean", "agile", "secure"], "month": ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"], "day_of_week": ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"],
+    "timezone": ["UTC", "Europe/Berlin", "Europe/Paris", "America/New_York", "America/Lima", "Asia/Tokyo", "Asia/Kolkata", "Australia/Perth"], "file_extension": ["txt", "csv", "pdf", "png", "json", "xml"], "blood_type": ["A+", "A-", "B+", "B-", "AB+", "AB-", "O+", "O-"], "vehicle_make": ["Orvan", "Tessel", "Brumo", "Kadira", "Lunet"],
+}
+VIN_LETTERS = "ABCDEFGHJKLMNPRSTUVWXYZ0123456789"
+
+
+def _vin(ctx: Context) -> Column:
+    """Seventeen characters with the check digit of ISO 3779 in ninth place."""
+    # weights of the places, and the value of each letter: fixed by the standard
+    weights = [8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2]
+    values = dict(zip("ABCDEFGHJKLMNPRSTUVWXYZ", [1, 2, 3, 4, 5, 6, 7, 8, 1, 2, 3, 4, 5, 7, 9, 2, 3, 4, 5, 6, 7, 8, 9], strict=True)) | {str(d): d for d in range(10)}
+    table = F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, v)])
+    signs = [ctx.rng.pick(list(VIN_LETTERS), ctx.name, i) for i in range(17)]
+    check = sum((table[s] * w for s, w in zip(signs, weights, strict=True) if w), F.lit(0)) % 11
+    signs[8] = F.when(check == 10, "X").otherwise(check.cast("string"))
+    return F.concat(*signs)
+
+
+FAKES |= {k: lambda c, v=v: c.rng.pick(v, c.name) for k, v in _LISTS.items()}
+FAKES |= {
+    "title": lambda c: F.initcap(F.concat_ws(" ", *[c.rng.pick(WORDS, c.name, i) for i in range(3)])), "catch_phrase": lambda c: F.initcap(F.concat_ws(" ", c.rng.pick(_LISTS["buzzword"], c.name, 1), c.rng.pick(WORDS, c.name, 2), c.rng.pick(WORDS, c.name, 3))),
+    "bs": lambda c: F.concat_ws(" ", c.rng.pick(["grow", "build", "link", "shape"], c.name, 1), c.rng.pick(_LISTS["buzzword"], c.name, 2), c.rng.pick(WORDS, c.name, 3)), "bic": lambda c: F.concat(pattern(c, "AAAA"), c.rng.pick(_LISTS["country_code"], c.name, "country"), F.lit("2"), c.rng.pick(list("ABCDEFGH"), c.name, "place")),
+    "coordinate": lambda c: F.concat_ws(", ", F.round(c.uniform("lat") * 180 - 90, 6).cast("string"), F.round(c.uniform("lon") * 360 - 180, 6).cast("string")), "file_path": lambda c: F.concat(F.lit("/"), F.concat_ws("/", *[c.rng.pick(WORDS, c.name, i) for i in range(2)]), F.lit("."), c.rng.pick(_LISTS["file_extension"], c.name, "ext")),
+    "license_plate": lambda c: pattern(c, "AA-### AA"), "vin": _vin, "vehicle_model": lambda c: F.concat(_title(c, "model"), F.lit(" "), c.rng.integer(1, 9, c.name, "n").cast("string")),
+}
+
+
 @generator("faker")
 def faker(ctx: Context, kind: str = "word") -> Column:
+    kind = ALIASES.get(kind, kind)
     if kind not in FAKES:
         raise ValueError(f"unknown kind of text {kind}")
     return FAKES[kind](ctx)

@@ -1,19 +1,22 @@
 """From a blueprint to tables: every field is a lazy column of the row number, in the order its dependencies need.
 
-Parents need not exist to make their children: a parent with dense keys is known by its size, so tables are independent plans. Only the fields
+Parents need not exist to make their children: keys that follow from row numbers, by arithmetic or by their generator, are computed where they are
+referred to, so tables are independent plans. Other keys are looked up by row number. Only the fields
 asked for are computed, since unused columns are pruned.
 """
 
 from __future__ import annotations
 
+import re
 from graphlib import TopologicalSorter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.expressions import fields_of, is_template, parse
 from fathom.functions.rng import Rng
-from fathom.operators.generate.columns import Context, Keys, make, null_mask
+from fathom.operators.generate.columns import GENERATORS, Context, Keys, make, null_mask
+from fathom.operators.generate.wholes import WHOLES, Build, edge_rows, gaussian_copulas
 
 ROWS_PER_PARTITION = 1_048_576
 #: Generators for fields that name none, by type.
@@ -26,17 +29,34 @@ def row_source(spark: SparkSession, rows: int, per_partition: int = ROWS_PER_PAR
     return spark.range(0, rows, 1, max(1, -(-rows // per_partition))).withColumnRenamed("id", "__row")
 
 
+#: Options of generators that name other fields.
+READS = ("field", "actor_field", "source", "series", "time")
+
+
+def fields_in(model: dict, name: str) -> dict:
+    """A table's fields, with the properties of the edges that its rows are."""
+    out = dict(model["tables"][name].get("fields", {}))
+    for r in model.get("relationships", []):
+        if r.get("from_table") == name:
+            out |= {p["name"]: {k: v for k, v in p.items() if k != "name"} for p in r.get("properties", [])}
+    return out
+
+
 def dependencies(fields: dict) -> dict[str, set[str]]:
     """The other fields that each field reads."""
     out = {}
     for name, spec in fields.items():
-        g = spec.get("generator", {})
-        reads = {g["field"]} if "field" in g else set()
-        e = g.get("expression")
-        if e:
-            import re
-
-            reads |= set(re.findall(r"\$\{([^}]*)\}", e)) if is_template(e) else fields_of(parse(e))
+        reads: set[str] = set()
+        todo = [spec.get("generator", {})]
+        while todo:
+            g = todo.pop()
+            reads |= {g[k] for k in READS if isinstance(g.get(k), str)}
+            e = g.get("expression")
+            if e:
+                reads |= set(re.findall(r"\$\{([^}]*)\}", e)) if is_template(e) else fields_of(parse(e))
+            # generators within generators
+            todo += [v for v in g.values() if isinstance(v, dict) and "type" in v]
+            todo += [x for v in g.values() if isinstance(v, dict) and "type" not in v for x in v.values() if isinstance(x, dict) and "type" in x]
         out[name] = reads & (fields.keys() - {name})
     return out
 
@@ -52,38 +72,59 @@ def layers(fields: dict) -> list[list[str]]:
     return out
 
 
-def keys_of(table: dict) -> Keys:
-    """How a table's keys follow from row numbers: its field marked ``primary_key``, which is a sequence, or row numbers from 1."""
-    for spec in table.get("fields", {}).values():
-        g = spec.get("generator", {})
-        if spec.get("primary_key") and g.get("type") == "sequence":
-            return Keys(table["count"], g.get("start", 1), g.get("step", 1), g.get("prefix"))
+def _shaped(spec: dict, c: Column) -> Column:
+    """A field's values as its type and precision have them."""
+    if "precision" in spec:
+        c = F.round(c, spec["precision"])
+    kind = spec.get("type", "string")
+    return c.cast(SPARK_TYPES[kind]) if kind in SPARK_TYPES else c
+
+
+def keys_of(model: dict, name: str, portable: bool = False) -> Keys:
+    """How a table's keys follow from row numbers: by arithmetic for a sequence or for tables without a primary key, by the key's generator where it
+    looks at nothing but the row, else not at all."""
+    table, seed = model["tables"][name], model.get("seed", 0)
+    fields = fields_in(model, name)
+    for f, spec in fields.items():
+        if not spec.get("primary_key"):
+            continue
+        g = spec.get("generator") or DEFAULTS.get(spec.get("type", "string"), {"type": "constant"})
+        if g.get("type") == "sequence" and not g.get("width") and spec.get("type", "int") in ("int", "string"):
+            return Keys(table["count"], g.get("start", 1), g.get("step", 1), g.get("prefix", "" if spec.get("type") == "string" else None))
+        if g.get("type") not in GENERATORS or g.get("type") in ("fk", "junction", "hierarchy") or dependencies(fields)[f] or spec.get("null") is not None or table.get("edges"):
+            return Keys(table["count"], joined=True)
+        return Keys(table["count"], maker=lambda i: _shaped(spec, make(Context(seed, name, f, table["count"], row=i, portable=portable, model=model), g)))
     return Keys(table["count"])
 
 
-def generate_table(spark: SparkSession, model: dict, name: str, portable: bool = False) -> DataFrame:
-    table = model["tables"][name]
-    seed, parents = model.get("seed", 0), {n: keys_of(t) for n, t in model["tables"].items()}
-    df = row_source(spark, table["count"])
-    for layer in layers(table["fields"]):
+def generate_table(spark: SparkSession, model: dict, name: str, portable: bool = False, numbered: bool = False) -> DataFrame:
+    """A table of a model; ``numbered`` keeps its row numbers as __row."""
+    table, seed, fields = model["tables"][name], model.get("seed", 0), fields_in(model, name)
+    parents = {n: keys_of(model, n, portable) for n in model["tables"]}
+    build = Build(spark, model, name, parents, lambda other: generate_table(spark, model, other, portable, numbered=True), portable)
+    edges = edge_rows(build)
+    df = row_source(spark, table["count"]) if edges is None else edges
+    for layer in layers(fields):
         made = {}
         for f in layer:
-            spec = table["fields"][f]
-            kind = spec.get("type", "string")
-            ctx = Context(seed, name, f, table["count"], portable=portable, schema=df.schema, parents=parents)
-            c = make(ctx, spec.get("generator") or DEFAULTS.get(kind, {"type": "constant"}))
-            if "precision" in spec:
-                c = F.round(c, spec["precision"])
-            if kind in SPARK_TYPES:
-                c = c.cast(SPARK_TYPES[kind])
+            spec = fields[f]
+            g = spec.get("generator") or DEFAULTS.get(spec.get("type", "string"), {"type": "constant"})
+            ctx = Context(seed, name, f, table["count"], portable=portable, schema=df.schema, parents=parents, model=model)
+            looked_up = g["type"] == "fk" and (parents[g["parent"]].joined or g.get("weight_field"))
+            if g["type"] in WHOLES and (g["type"] not in GENERATORS or looked_up):
+                df = WHOLES[g["type"]](build, df, f, **{k: v for k, v in g.items() if k != "type"})
+                made[f] = F.col(f"`{f}`")
+            else:
+                made[f] = make(ctx, g)
+            made[f] = _shaped(spec, made[f])
             nulls = spec.get("null")
             if nulls is not None:
-                c = null_mask(ctx, c, every=nulls["every"]) if isinstance(nulls, dict) else null_mask(ctx, c, float(nulls))
-            made[f] = c
+                made[f] = null_mask(ctx, made[f], every=nulls["every"]) if isinstance(nulls, dict) else null_mask(ctx, made[f], float(nulls))
         df = df.withColumns(made)
+    df = gaussian_copulas(build, df)
     for c in table.get("constraints", []):
         df = enforce(df, c)
-    return df.select(*table["fields"])
+    return df.select(*(["__row"] if numbered else []), *fields)
 
 
 def enforce(df: DataFrame, constraint: dict) -> DataFrame:

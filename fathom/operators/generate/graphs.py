@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathom.functions.rng import Rng
+from fathom.operators.relational import prefix_sums
 from fathom.session import checkpoint
 
 
@@ -21,8 +21,8 @@ def tree(spark: SparkSession, n: int, branching: int = 3) -> DataFrame:
     return _rows(spark, n, "node").withColumn("parent", F.when(F.col("node") > 0, F.floor((F.col("node") - 1) / branching).cast("long")))
 
 
-def random_tree(spark: SparkSession, n: int, seed: int, max_depth: int = 5) -> DataFrame:
-    """(node, parent, depth): an acyclic hierarchy of bounded depth. Nodes get a level with room growing geometrically, and a parent among
+def parent_of(node: Column, n: int, rng: Rng, max_depth: int) -> tuple[Column, Column]:
+    """(parent, depth) of a node of an acyclic hierarchy of bounded depth. Nodes get a level with room growing geometrically, and a parent among
     those of the level above, so no iteration is needed."""
     widths, left, w = [], n, 1
     grow = max(2, math.ceil(n ** (1 / max_depth)))
@@ -31,13 +31,17 @@ def random_tree(spark: SparkSession, n: int, seed: int, max_depth: int = 5) -> D
         widths.append(take)
         left, w = left - take, w * grow
     starts = [sum(widths[:i]) for i in range(len(widths))]
-    node = F.col("node")
-    rng = Rng(seed, "hierarchy", node)
     depth, parent = F.lit(0), F.lit(None).cast("long")
     for level in range(1, max_depth + 1):
         if widths[level]:
             depth = F.when(node >= starts[level], level).otherwise(depth)
             parent = F.when(node >= starts[level], F.lit(starts[level - 1]) + rng.integer(0, widths[level - 1] - 1, "parent")).otherwise(parent)
+    return parent, depth
+
+
+def random_tree(spark: SparkSession, n: int, seed: int, max_depth: int = 5) -> DataFrame:
+    """(node, parent, depth) of all nodes, by parent_of."""
+    parent, depth = parent_of(F.col("node"), n, Rng(seed, "hierarchy", F.col("node")), max_depth)
     return _rows(spark, n, "node").select("node", parent.alias("parent"), depth.alias("depth"))
 
 
@@ -142,10 +146,10 @@ def interactions(edges: DataFrame, mean: float, seed: int) -> DataFrame:
 
 
 def neighbour_of(df: DataFrame, rng: Rng, actor: str, edges: DataFrame, name: str) -> DataFrame:
-    """A neighbour of each row's actor, by the place its hash has among the actor's numbered edges; null where there is none. Numbering is a window
-    per actor, and rows meet it on (actor, number)."""
-    numbered = edges.withColumn("__n", F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1).select(F.col("src").alias(actor), "__n", F.col("dst").alias(name))
-    degrees = edges.groupBy(F.col("src").alias(actor)).agg(F.count(F.lit(1)).alias("__d"))
+    """A neighbour of each row's actor, by the place its hash has among the actor's numbered edges; null where there is none. Numbering is a distributed
+    scan, so that an actor with most of the edges is not gathered, and rows meet it on (actor, number)."""
+    numbered = prefix_sums(edges.select("src", "dst").distinct(), ["dst"], F.lit(1).cast("long"), ["src"], "__n").select(F.col("src").alias(actor), (F.col("__n") - 1).cast("int").alias("__n"), F.col("dst").alias(name))
+    degrees = edges.select("src", "dst").distinct().groupBy(F.col("src").alias(actor)).agg(F.count(F.lit(1)).alias("__d"))
     drawn = df.join(degrees, actor, "left").withColumn("__n", F.pmod(rng.bits(name), F.col("__d")).cast("int"))
     return drawn.join(numbered, [actor, "__n"], "left").drop("__n", "__d")
 

@@ -1,7 +1,8 @@
 """Time series, event streams and dependent columns.
 
-Components without memory are column expressions; running totals are windows per series; true recurrences (autoregression, mean
-reversion, spikes that decay) run per series in Arrow batches, so different series stay parallel.
+Components without memory are column expressions; running totals are distributed scans. Recurrences (autoregression, mean reversion, spikes
+that decay) are linear, so a series is cut into blocks of ``BLOCK`` steps: each block runs from rest, the states at the ends are carried from block to
+block, one row a block, and each block then runs again from its true state. No task holds more than a block, however long a series is.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathom.functions.rng import Rng
@@ -19,6 +19,9 @@ from fathom.operators.generate.distributions import _draw, _mix
 from fathom.operators.relational import prefix_sums
 
 
+BLOCK = 65_536
+
+
 def trend(step: Column, start: float = 0.0, slope: float = 0.0, curve: float = 0.0) -> Column:
     return F.lit(float(start)) + step * float(slope) + step * step * float(curve)
 
@@ -39,28 +42,57 @@ def calendar(time: Column, weekend: float = 1.0, business: float = 1.0, hours: t
 def level_shift(df: DataFrame, rng: Rng, series: str, step: str, p: float, size: float, name: str = "level") -> DataFrame:
     """A level that jumps by N(0, size) with probability p at each step: a running total per series."""
     jump = F.when(rng.uniform("jump") < p, rng.normal("size") * size).otherwise(0.0)
-    return df.withColumn("__j", jump).withColumn(name, F.sum("__j").over(W.partitionBy(series).orderBy(step).rowsBetween(W.unboundedPreceding, 0))).drop("__j")
+    return prefix_sums(df.withColumn("__j", jump), [step], F.col("__j"), [series], name).drop("__j")
 
 
-def recurrence(df: DataFrame, rng: Rng, series: str, step: str, name: str = "value", ar: list[float] = (), mean: float = 0.0, reversion: float = 0.0, sigma: float = 1.0, spike_p: float = 0.0, spike_size: float = 0.0, spike_decay: float = 0.5) -> DataFrame:
-    """Autoregression around a mean, pulled back by ``reversion``, with spikes that decay. One group per series."""
-    kinds = dict(df.dtypes)
+def recurrence(df: DataFrame, rng: Rng, series: str, step: str, name: str = "value", ar: list[float] = (), mean: float = 0.0, reversion: float = 0.0, sigma: float = 1.0, spike_p: float = 0.0, spike_size: float = 0.0, spike_decay: float = 0.5, block: int = BLOCK) -> DataFrame:
+    """Autoregression around a mean, pulled back by ``reversion``, with spikes that decay. ``step`` numbers the rows of a series from 0 on."""
+    order = max(1, len(ar))
+    # the state is the last values and the spike; one step multiplies it by this and adds the row's noise and spike
+    turn = np.zeros((order + 1, order + 1))
+    turn[0, : len(ar)] = ar
+    turn[0, 0] -= reversion
+    turn[range(1, order), range(order - 1)] = 1.0
+    turn[order, order] = spike_decay
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(step).reset_index(drop=True)
+    def values(pdf: pd.DataFrame, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = _mix(pdf["__h"].to_numpy().astype(np.int64).view(np.uint64))
         z = np.sqrt(-2 * np.log(_draw(h, 0))) * np.cos(2 * np.pi * _draw(h, 1)) * sigma
-        hit = _draw(h, 2) < spike_p
-        out, spike, last = np.zeros(len(pdf)), 0.0, [0.0] * max(1, len(ar))
+        hit, out = np.where(_draw(h, 2) < spike_p, spike_size, 0.0), np.zeros(len(pdf))
         for i in range(len(pdf)):
-            x = sum(a * b for a, b in zip(ar, last, strict=False)) + z[i] - reversion * last[0]
-            last = [x, *last[: max(0, len(ar) - 1)]]
-            spike = spike * spike_decay + (spike_size if hit[i] else 0.0)
-            out[i] = mean + x + spike
-        return pdf.drop(columns="__h").assign(**{name: out})
+            state = turn @ state
+            state[0] += z[i]
+            state[order] += hit[i]
+            out[i] = mean + state[0] + state[order]
+        return out, state
+
+    blocks = df.withColumn("__h", rng.bits("series")).withColumn("__block", F.floor(F.col(step) / block).cast("long"))
+    kind = dict(df.dtypes)[series]
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(step)
+        _, state = values(pdf, np.zeros(order + 1))
+        return pd.DataFrame({series: [pdf[series].iloc[0]], "__block": [pdf["__block"].iloc[0]], "size": [len(pdf)], "state": [state.tolist()]})
+
+    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, state, out = pdf.sort_values("__block"), np.zeros(order + 1), []
+        for size, end in zip(pdf["size"], pdf["state"], strict=True):
+            out.append(state.tolist())
+            state = np.linalg.matrix_power(turn, int(size)) @ state + np.array(end)
+        return pd.DataFrame({series: pdf[series], "__block": pdf["__block"], "__state": out})
+
+    columns = [*df.columns, name]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(step)
+        out, _ = values(pdf, np.array(pdf["__state"].iloc[0]))
+        return pdf.assign(**{name: out})[columns]
 
-    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + f", `{name}` double"
-    return df.withColumn("__h", rng.bits("series")).groupBy(series).applyInPandas(one, schema)
+    # one row a block: the groups of this step are as long as a series has blocks
+    last = blocks.select(series, step, "__h", "__block").groupBy(series, "__block").applyInPandas(ends, f"`{series}` {kind}, __block long, size long, state array<double>")
+    first = last.groupBy(series).applyInPandas(carried, f"`{series}` {kind}, __block long, __state array<double>")
+    schema = ", ".join(f"`{c}` {k}" for c, k in df.dtypes) + f", `{name}` double"
+    return blocks.join(first, [series, "__block"]).groupBy(series, "__block").applyInPandas(run, schema)
 
 
 def event_stream(rows: DataFrame, rng: Rng, series: str, step: str, rate_per_s: float, start: str = "2024-01-01", profile: list[float] | None = None, name: str = "ts") -> DataFrame:
@@ -68,8 +100,7 @@ def event_stream(rows: DataFrame, rng: Rng, series: str, step: str, rate_per_s:
     in proportion (thinning), so fewer rows come out."""
     top = max(profile) if profile else 1.0
     gap = -F.ln(F.lit(1.0) - rng.uniform("gap")) / (rate_per_s * top)
-    w = W.partitionBy(series).orderBy(step).rowsBetween(W.unboundedPreceding, 0)
-    at = rows.withColumn("__gap", gap).withColumn("__s", F.sum("__gap").over(w))
+    at = prefix_sums(rows.withColumn("__gap", gap), [step], F.col("__gap"), [series], "__s")
     out = at.withColumn(name, F.timestamp_millis(F.unix_millis(F.lit(start).cast("timestamp")) + (F.col("__s") * 1000).cast("long"))).drop("__gap", "__s")
     if profile:
         factor = F.element_at(F.array(*[F.lit(float(p)) for p in profile]), F.hour(name) + 1)
@@ -80,8 +111,7 @@ def event_stream(rows: DataFrame, rng: Rng, series: str, step: str, rate_per_s:
 def bursts(rows: DataFrame, rng: Rng, actor: str, step: str, size: float, gap_s: float, idle_s: float, start: str = "2024-01-01", name: str = "ts") -> DataFrame:
     """Times in bursts per actor: short exponential gaps, and a long one with probability 1/size."""
     mean = F.when(rng.uniform("end") < 1.0 / size, F.lit(float(idle_s))).otherwise(float(gap_s))
-    w = W.partitionBy(actor).orderBy(step).rowsBetween(W.unboundedPreceding, 0)
-    at = rows.withColumn("__gap", -F.ln(F.lit(1.0) - rng.uniform("gap")) * mean).withColumn("__s", F.sum("__gap").over(w))
+    at = prefix_sums(rows.withColumn("__gap", -F.ln(F.lit(1.0) - rng.uniform("gap")) * mean), [step], F.col("__gap"), [actor], "__s")
     return at.withColumn(name, F.timestamp_millis(F.unix_millis(F.lit(start).cast("timestamp")) + (F.col("__s") * 1000).cast("long"))).drop("__gap", "__s")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("data_problems", "expression_queries", "relational_queries", "learn_queries", "model_queries", "stream_queries", "round_trip_queries")
+MODULES = ("data_problems", "expression_queries", "relational_queries", "learn_queries", "model_queries", "model_closure", "stream_queries", "round_trip_queries")
 FLAGSHIP = "p4_masks"
 
 
