@@ -40,9 +40,13 @@ class Rng:
         return (F.floor(self.uniform(*path) * span) + low).cast("long")
 
     def normal(self, *path: object) -> Column:
-        """Standard normal by Box-Muller."""
-        u = F.lit(1.0) - self.uniform(*path, "r")
-        return F.sqrt(F.lit(-2.0) * F.ln(u)) * F.cos(F.lit(2 * math.pi) * self.uniform(*path, "a"))
+        """Standard normal by Box-Muller; in the fast stream from the two halves of one hash, which reach 6.7 deviations."""
+        if self.portable:
+            u, a = F.lit(1.0) - self.uniform(*path, "r"), self.uniform(*path, "a")
+        else:
+            h = F.xxhash64(self.row, F.lit(salt_of(self.seed, self.entity, *path)))
+            u, a = (F.shiftrightunsigned(h, 32).cast("double") + 0.5) * 2.0**-32, h.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") * 2.0**-32
+        return F.sqrt(F.lit(-2.0) * F.ln(u)) * F.cos(F.lit(2 * math.pi) * a)
 
     def pick(self, values: list, *path: object) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), self.integer(1, len(values), *path).cast("int"))

@@ -19,14 +19,16 @@ from fathom.operators.generate.columns import GENERATORS, Context, Keys, make, n
 from fathom.operators.generate.wholes import WHOLES, Build, edge_rows, gaussian_copulas
 
 ROWS_PER_PARTITION = 1_048_576
+LEAST_ROWS = 65_536
 #: Generators for fields that name none, by type.
 DEFAULTS = {"bool": {"type": "distribution", "family": "bernoulli"}, "int": {"type": "distribution", "family": "uniform", "params": {"min": 0, "max": 1000}, "round": True}, "float": {"type": "distribution"}, "string": {"type": "faker", "kind": "word"}, "date": {"type": "faker", "kind": "date"}, "datetime": {"type": "faker", "kind": "datetime"}, "uuid": {"type": "uuid"}}
 SPARK_TYPES = {"bool": "boolean", "int": "bigint", "int32": "int", "float": "double", "string": "string", "uuid": "string", "date": "date", "datetime": "timestamp", "time": "bigint", "duration": "bigint", "bytes": "binary"}
 
 
 def row_source(spark: SparkSession, rows: int, per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """(__row): 0-based row numbers in partitions of bounded size."""
-    return spark.range(0, rows, 1, max(1, -(-rows // per_partition))).withColumnRenamed("id", "__row")
+    """(__row): 0-based row numbers in partitions of bounded size, and of less where that keeps all cores busy."""
+    even = max(LEAST_ROWS, -(-rows // spark.sparkContext.defaultParallelism))
+    return spark.range(0, rows, 1, max(1, -(-rows // min(per_partition, even)))).withColumnRenamed("id", "__row")
 
 
 #: Options of generators that name other fields.
