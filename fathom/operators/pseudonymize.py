@@ -133,15 +133,14 @@ def build_map(values: DataFrame, seed: int) -> DataFrame:
     formed = checkpoint(values.select("value", shape(F.col("value")).alias("form")))
     crowded = formed.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * DENSE > room(F.col("form"))).select("form", F.lit(True).alias("dense"))
     split = checkpoint(formed.join(crowded, "form", "left").select("value", F.coalesce("dense", F.lit(False)).alias("dense"), F.col("form").contains("ä").alias("other")))
-    done = split.where("dense and not other").select("value", permuted(F.col("value"), seed).alias("token"))
+    done = checkpoint(split.where("dense and not other").select("value", permuted(F.col("value"), seed).alias("token")))
     rest = split.where("dense and other").select("value")
     todo = split.where("not dense").select("value")
     for attempt in range(ROUNDS):
-        made = todo.withColumn("token", token(F.col("value"), seed, attempt))
+        made = checkpoint(todo.withColumn("token", token(F.col("value"), seed, attempt)))
         # of several values with one token the least keeps it, unless an earlier round gave the token away
         firsts = made.groupBy("token").agg(F.min("value").alias("first"))
-        ranked = made.join(firsts, "token").join(done.select("token", F.lit(True).alias("taken")), "token", "left")
-        ranked = checkpoint(ranked)
+        ranked = checkpoint(made.join(firsts, "token").join(done.select("token", F.lit(True).alias("taken")), "token", "left"))
         good = (F.col("first") == F.col("value")) & F.col("taken").isNull() & (F.col("token") != F.col("value"))
         done = done.unionByName(ranked.where(good).select("value", "token"))
         todo = ranked.where(~good).select("value")
