@@ -10,7 +10,8 @@ prefers long pieces, which keeps short ones for later. The pattern of counts fou
 allows, and each pattern exhausts a length or nearly so, so the number of patterns follows the capacity and not the corpus.
 
 Pieces are matched to the plan by their rank within their length. Ranks come from counts per (length, hash slice) and row
-numbers within slices, so a length that a third of all pieces share is spread over many tasks. Nothing but the histogram
+numbers within slices. A length has as many slices as keep each at about ``SLICE`` pieces, which follows from the histogram, so a length that a
+third of all pieces share is spread over tasks of bounded size. Nothing but the histogram
 reaches the driver, and only the plan is sent to the tasks, whose size the capacity bounds.
 
 Defined cases: null texts are no texts and get no container (piece 0, tokens 0). Empty and other texts of no tokens take no space and
@@ -35,7 +36,8 @@ CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the tokenizer's vocabulary splits texts into words: a fixed value that belongs to the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SLICES = 64
+#: Pieces of one length that one task numbers.
+SLICE = 500_000
 
 _ENCODERS: dict[str, object] = {}
 
@@ -119,12 +121,15 @@ def pieces(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return cut.select("doc_id", "piece", "pieces", start.alias("start"), F.least(F.lit(capacity), F.col("n") - start).cast("long").alias("tokens"), F.col("tokens").isNull().alias("absent"))
 
 
-def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(counts: DataFrame, capacity: int = CAPACITY, per_slice: int = SLICE) -> DataFrame:
     """(doc_id, piece, pieces, start, tokens, container, unused) of each piece; unused is the space its container leaves."""
     cut = checkpoint(pieces(counts, capacity))
-    sized = cut.where("tokens > 0").withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)))
-    per_slice = checkpoint(sized.groupBy("tokens", "slice").agg(F.count(F.lit(1)).alias("n")))
-    histogram = {r["tokens"]: r["n"] for r in per_slice.groupBy("tokens").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
+    sized = cut.where("tokens > 0")
+    histogram = {r["tokens"]: r["n"] for r in sized.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
+    crowded = {k: -(-n // per_slice) for k, n in histogram.items() if n > per_slice}
+    slices = F.coalesce(F.create_map(*[F.lit(x) for k, n in crowded.items() for x in (k, n)])[F.col("tokens")], F.lit(1)) if crowded else F.lit(1)
+    sized = sized.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), slices))
+    counted = sized.groupBy("tokens", "slice").agg(F.count(F.lit(1)).alias("n"))
     patterns = plan(histogram, capacity)
     # per length: ranks at which a pattern begins, its first container, and how many of the length it takes per container
     table: dict[int, list[tuple[int, int, int, int]]] = {}
@@ -137,8 +142,8 @@ def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     arrays = {k: tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) for k, rows in table.items()}
     shared = counts.sparkSession.sparkContext.broadcast(arrays)
     before = W.partitionBy("tokens").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    # at most capacity * SLICES rows; the pieces are partitioned by these keys already, so the join moves only this side
-    offsets = per_slice.select("tokens", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    # one row per length and slice; the pieces are partitioned by these keys already, so the join moves only this side
+    offsets = counted.select("tokens", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     ranked = sized.withColumn("rn", F.row_number().over(W.partitionBy("tokens", "slice").orderBy("doc_id", "piece")) - 1).join(offsets, ["tokens", "slice"])
     ranked = ranked.select("doc_id", "piece", "pieces", "start", "tokens", (F.col("rn") + F.col("offset")).alias("rank"))
 

@@ -116,6 +116,22 @@ def p7_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(p7_containers(spark, sf_dir))
 
 
+def p7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the filling: texts that are not there whole (their pieces and tokens add up to them), containers over capacity or whose unused
+    space is not what their pieces leave, texts cut although they fit, and containers beyond the least number by more than one in a thousand."""
+    counts, packed = packing.token_counts(table(spark, sf_dir, "documents")), p7_containers(spark, sf_dir)
+    held = packed.groupBy("doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("k"), F.max("pieces").alias("p"), F.count_distinct("piece").alias("d"))
+    both = counts.join(held, "doc_id", "full_outer")
+    whole = (F.col("t") == F.coalesce("tokens", F.lit(0))) & (F.col("k") == F.col("p")) & (F.col("d") == F.col("p"))
+    cut = (F.col("tokens") <= packing.CAPACITY) & (F.col("p") > 1)
+    texts = both.agg(F.count(F.when(~F.coalesce(whole, F.lit(False)), 1)).alias("torn"), F.count(F.when(cut, 1)).alias("cut"))
+    full = packed.where("container is not null").groupBy("container").agg(F.sum("tokens").alias("used"), F.min("unused").alias("lo"), F.max("unused").alias("hi"))
+    right = (F.col("used") <= packing.CAPACITY) & (F.col("lo") == packing.CAPACITY - F.col("used")) & (F.col("hi") == F.col("lo"))
+    least = F.ceil(F.sum("used") / packing.CAPACITY)
+    boxes = full.agg(F.count(F.when(~right, 1)).alias("wrong"), F.greatest(F.lit(0), F.count(F.lit(1)) - F.ceil(least * 1.001) - 1).cast("long").alias("beyond"))
+    return texts.join(F.broadcast(boxes))
+
+
 # --- 8: leaks
 
 
@@ -160,6 +176,7 @@ QUERIES = {
     "p6_frequent": p6_frequent,
     "p7_containers": p7_containers,
     "p7_filling": p7_filling,
+    "p7_rules": p7_rules,
     "p8_found": p8_found,
     "p8_items": p8_items,
     "p9_found": p9_found,
@@ -171,6 +188,7 @@ _SETS = [s for s in distinct.grouping_sets(_GROUPS) if len(s) < 3]
 _DAYS = '(select *, cast(requested_at as date) as "day" from requests)'
 
 SQL = {
+    "p7_rules": "select cast(0 as bigint) torn, cast(0 as bigint) cut, cast(0 as bigint) wrong, cast(0 as bigint) beyond",
     "p1_coverage": " union all ".join(f"select '{i}' identifier, cast(sum(n) as bigint) \"groups\", true covered from ({' union all '.join(f'select count(*) n from (select 1 from {_DAYS} where {i} is not null' + (' group by ' + ', '.join(chr(34) + c + chr(34) for c in s) if s else ' limit 1') + ')' for s in _SETS)})" for i in _IDENTIFIERS),
     "p5_percentiles": _percentile_sql(),
     "p5_partials": " union all ".join(f"select load_id, server_id, status_code, cast(requested_at as date) as \"day\", '{m}' column_name, {bucket_sql(m, quantiles.RELATIVE_ERROR)} bucket, count(*) n from requests where {m} is not null group by all" for m in _MEASURES),

@@ -214,3 +214,10 @@ def test_registers_alone_and_in_two_steps(spark, monkeypatch):
     assert sorted(map(str, D.merged(parts, keys, sparse=0).collect())) == one
     got = D.counts(D.merged(parts, keys, sparse=0)).collect()
     assert len(got) == 4 and all(r.relative_error > 0 and abs(r.estimate / 700 - 1) < 0.15 for r in got)
+
+
+def test_slices_change_nothing_but_who_goes_where(spark):
+    counts = spark.createDataFrame([(i, (i * 37) % 300 + 1 if i % 3 else 40) for i in range(3000)], "doc_id long, tokens long")
+    one, many = (P.pack(counts, 512, per_slice=n) for n in (10**6, 50))
+    assert P.containers(one, 512).count() == P.containers(many, 512).count()
+    assert not P.containers(many, 512).where("used > 512 or unused < 0").count() and many.select("doc_id").distinct().count() == 3000
