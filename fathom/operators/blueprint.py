@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import copy
 import json
+import re
 import tomllib
 from graphlib import CycleError
 from pathlib import Path
@@ -196,8 +197,6 @@ def from_schema(name: str, schema, count: int = 1000) -> dict:
 
 def from_sql(ddl: str, count: int = 1000) -> dict:
     """A first model from CREATE TABLE statements: columns, keys and references."""
-    import re
-
     kinds = {"int": "int", "integer": "int32", "bigint": "int", "smallint": "int32", "double": "float", "float": "float", "real": "float", "decimal": "float", "numeric": "float", "varchar": "string", "char": "string", "text": "string", "boolean": "bool", "bool": "bool", "date": "date", "timestamp": "datetime", "datetime": "datetime", "uuid": "uuid", "blob": "bytes"}
     model: dict = {"seed": 0, "tables": {}, "relationships": []}
     for m in re.finditer(r"create\s+table\s+(?:if\s+not\s+exists\s+)?[\"`]?(\w+)[\"`]?\s*\((.*?)\)\s*;", ddl, re.I | re.S):
@@ -232,3 +231,86 @@ def dumps(model: dict) -> str:
 def plan(model: dict) -> list[dict]:
     """The order in which fields are computed, per table."""
     return [{"table": n, "rows": t.get("count", 0), "layers": layers(t["fields"]), "reads": {f: sorted(r) for f, r in dependencies(t["fields"]).items() if r}} for n, t in model["tables"].items()]
+
+
+def update(model: dict, changes: dict[str, object]) -> dict:
+    """Values set at paths such as "tables.orders.count"; a value of None removes. Unknown parents are made."""
+    out = copy.deepcopy(model)
+    for path, value in changes.items():
+        *above, last = path.split(".")
+        at = out
+        for p in above:
+            at = at.setdefault(p, {})
+        if value is None:
+            at.pop(last, None)
+        else:
+            at[last] = value
+    return out
+
+
+def derive(model: dict, table: str, field: str, expression: str, kind: str = "float") -> dict:
+    """A model with a field computed from others of its table; what it reads must be there, and no circle may arise."""
+    out = update(model, {f"tables.{table}.fields.{field}": {"type": kind, "generator": {"type": "derived", "expression": expression}}})
+    fields = out["tables"][table]["fields"]
+    named = set(re.findall(r"\$\{([^}]*)\}", expression))
+    if unknown := sorted(named - fields.keys()):
+        raise ValueError(f"{table} has no fields {unknown}")
+    layers(fields)
+    return out
+
+
+def sample(spark, model: dict, rows: int = 5) -> dict:
+    """The first rows of each table, as dictionaries."""
+    from fathom.operators.generate.engine import generate_table
+
+    small = update(model, {f"tables.{n}.count": min(rows, t.get("count", 0)) for n, t in model["tables"].items() if n not in _parents(model)})
+    return {n: [r.asDict() for r in generate_table(spark, small, n).limit(rows).collect()] for n in model["tables"]}
+
+
+def _parents(model: dict) -> set[str]:
+    return {f["generator"]["parent"] for t in model["tables"].values() for f in t["fields"].values() if f.get("generator", {}).get("type") == "fk"}
+
+
+def test(spark, model: dict) -> list[str]:
+    """What is wrong with a model when it is generated: errors of validate, and findings of the check of its own tables."""
+    from fathom.operators.check import validate as check
+    from fathom.operators.generate.engine import generate
+
+    if errors := validate(model):
+        return errors
+    found = check(generate(spark, model), model).where("severity = 'error'").collect()
+    return [f"{r.table_name}.{r.column_name}: {r.finding} ({r.n})" for r in found]
+
+
+def inspect(model: dict, table: str, field: str | None = None) -> dict:
+    """What a model says of a table or field, with what it reads and what refers to it."""
+    t = model["tables"][table]
+    reads = dependencies(t["fields"])
+    if field is None:
+        return {"table": table, "rows": t.get("count", 0), "fields": list(t["fields"]), "references": [r for r in model.get("relationships", []) if table in (r["from_table"], r["to_table"])]}
+    return {"field": field, **t["fields"][field], "reads": sorted(reads[field]), "read_by": sorted(f for f, r in reads.items() if field in r)}
+
+
+VERSION = 2
+
+
+def info(model: dict) -> dict:
+    return {"version": model.get("version", 1), **stats(model)}
+
+
+def migrate(model: dict) -> dict:
+    """A model of an earlier version in the present form: version 1 called tables entities and counts rows."""
+    out = copy.deepcopy(model)
+    if out.get("version", 1) < 2:
+        if "entities" in out:
+            out["tables"] = out.pop("entities")
+        for t in out.get("tables", {}).values():
+            if "rows" in t and "count" not in t:
+                t["count"] = t.pop("rows")
+    out["version"] = VERSION
+    return out
+
+
+def generators() -> list[str]:
+    """The names of all generators."""
+    return sorted({*GENERATORS, *WHOLES})

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.operators.learn import fit, profile
+from fathom.operators.learn.decisions import Decisions
 
 MAX_VALUES = 50
 #: Parameters of the generator that stands for a fitted family, from the fit's a and b.
 FAMILIES = {
     "uniform": lambda a, b: {"min": a, "max": b}, "normal": lambda a, b: {"mean": a, "std_dev": b}, "log_normal": lambda a, b: {"mu": a, "sigma": b},
-    "exponential": lambda a, b: {"lambda": a}, "pareto": lambda a, b: {"scale": a, "shape": b}, "poisson": lambda a, b: {"lambda": a},
+    "exponential": lambda a, b: {"lambda": a}, "pareto": lambda a, b: {"scale": a, "shape": b}, "poisson": lambda a, b: {"lambda": a}, "gamma": lambda a, b: {"shape": a, "scale": b}, "beta": lambda a, b: {"alpha": a, "beta": b}, "zipf": lambda a, b: {"n": int(a), "s": b},
 }
 TEXTS = {"email": "email", "phone": "phone", "uuid": "uuid", "url": "url", "name": "name", "hex": "hex", "date": "date"}
 GEOGRAPHIC = ("city", "town", "state", "province", "region", "country", "zip", "postal", "postcode", "latitude", "longitude")
@@ -41,15 +42,16 @@ def _kind(t: T.DataType) -> str:
     return "datetime" if isinstance(t, (T.TimestampType, T.TimestampNTZType)) else "string"
 
 
-def learn_table(df: DataFrame, key: str | None = None, references: dict[str, str] | None = None) -> dict:
-    """The blueprint of one table. ``references`` maps foreign key columns to parent tables."""
+def learn_table(df: DataFrame, key: str | None = None, references: dict[str, str] | None = None, max_values: int = MAX_VALUES, log: Decisions | None = None, name: str = "") -> dict:
+    """The blueprint of one table. ``references`` maps foreign key columns to parent tables; columns of up to ``max_values`` values become categories;
+    ``log`` takes down why each column got its generator."""
     references = references or {}
     plain = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
     names = [f.name for f in plain]
     kinds = {f.name: _kind(f.dataType) for f in plain}
     counts = {r.column_name: r for r in profile.column_counts(df, names, None).collect()}
     rows = counts[names[0]].rows if names else 0
-    few = [c for c in names if 0 < counts[c].distinct <= MAX_VALUES and c not in references and c != key and kinds[c] in ("string", "bool", "int")]
+    few = [c for c in names if 0 < counts[c].distinct <= max_values and c not in references and c != key and kinds[c] in ("string", "bool", "int")]
     shares: dict[str, list] = {c: [] for c in few}
     if few:
         cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in few])
@@ -84,6 +86,9 @@ def learn_table(df: DataFrame, key: str | None = None, references: dict[str, str
     fields = {}
     for c in names:
         f = {"type": kinds[c], "generator": chosen(c)}
+        if log is not None:
+            why = "reference" if c in references else "key" if c == key else f"{counts[c].distinct} different values" if c in few else f"least AIC {fits[c].aic:.6g}" if c in fits else "span of times" if c in spans else "pattern of texts" if c in forms else "nothing known"
+            log.add(name, c, "generator", f["generator"]["type"], why)
         if c == key:
             f["primary_key"] = True
         rate = counts[c].null_rate or 0.0
@@ -93,10 +98,10 @@ def learn_table(df: DataFrame, key: str | None = None, references: dict[str, str
     return {"count": rows, "fields": fields}
 
 
-def learn_model(tables: dict[str, DataFrame], keys: dict[str, str], relationships: list[dict], seed: int = 0) -> dict:
+def learn_model(tables: dict[str, DataFrame], keys: dict[str, str], relationships: list[dict], seed: int = 0, log: Decisions | None = None) -> dict:
     """The blueprint of a dataset; relationships are dicts with from_table, foreign_key, to_table, to_column."""
     refs: dict[str, dict[str, str]] = {}
     for r in relationships:
         if r["from_table"] in tables and r["to_table"] in tables:
             refs.setdefault(r["from_table"], {})[r["foreign_key"]] = r["to_table"]
-    return {"seed": seed, "tables": {n: learn_table(df, keys.get(n), refs.get(n)) for n, df in tables.items()}, "relationships": relationships}
+    return {"seed": seed, "tables": {n: learn_table(df, keys.get(n), refs.get(n), log=log, name=n) for n, df in tables.items()}, "relationships": relationships}

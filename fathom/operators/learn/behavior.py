@@ -23,6 +23,35 @@ def actor_score(column: str) -> float:
     return 0.70 if any(low in (f"{p}_name", f"{p}_email", f"{p}_code") for p in people) else 0.0
 
 
+def actor_registry(columns: dict[str, list[str]], relationships: list[dict]) -> list[list[tuple[str, str]]]:
+    """The namespaces of actors: (table, column) of all actor columns and of the keys they refer to, those that references connect in one group. Of
+    the size of the schema."""
+    parent: dict[tuple[str, str], tuple[str, str]] = {(t, c): (t, c) for t, cs in columns.items() for c in cs if actor_score(c) > 0}
+
+    def root(x: tuple[str, str]) -> tuple[str, str]:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for r in relationships:
+        a, b = (r["from_table"], r["foreign_key"]), (r["to_table"], r["to_column"])
+        if a in parent or b in parent:
+            parent[root(a)] = root(b)
+    groups: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for x in sorted(parent):
+        groups.setdefault(root(x), []).append(x)
+    return sorted(groups.values())
+
+
+def field_preferences(df: DataFrame, actor: str, columns: list[str]) -> DataFrame:
+    """(actor, column_name, value, n, share): the value each actor uses most in each column; of equals the least."""
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]
+    long = df.where(F.col(actor).isNotNull()).select(F.col(actor).alias("actor"), F.explode(F.array(*cells)).alias("x")).select("actor", "x.*").where("value is not null")
+    counts = long.groupBy("actor", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("actor", "column_name").agg(F.sum("n").alias("total"), F.max("n").alias("n"), F.min(F.struct((-F.col("n")).alias("o"), "value")).alias("b"))
+    return best.select("actor", "column_name", "b.value", "n", (F.col("n") / F.col("total")).alias("share"))
+
+
 def actor_profiles(df: DataFrame, actor: str, time: str) -> DataFrame:
     """(actor, events, span_days, h0..h23, d0..d6): events, days between first and last, and shares by hour and weekday (Monday 0)."""
     t = F.col(time).cast("timestamp")

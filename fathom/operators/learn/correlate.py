@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fathom.operators.learn.fit import normal_cdf
 from fathom.operators.relational import average_ranks
 
-LEAST_PAIRS, LEAST_R, MOST_P, CAP = 5, 0.3, 0.05, 500
+LEAST_PAIRS, LEAST_R, MOST_P = 5, 0.3, 0.05
 
 
 def p_value(r: Column, n: Column) -> Column:
@@ -32,9 +32,10 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("p", p_value(F.col("r"), F.col("n").cast("double")))
 
 
-def notable(pairs: DataFrame) -> DataFrame:
-    """Pairs worth keeping: enough rows, a coefficient of at least .3 and p below .05; the strongest ``CAP`` of a report."""
-    return pairs.where((F.col("n") >= LEAST_PAIRS) & (F.abs("r") >= LEAST_R) & (F.col("p") < MOST_P)).orderBy(F.desc(F.abs("r")), "left", "right").limit(CAP)
+def notable(pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs worth keeping, strongest first: enough rows, a coefficient of at least .3 and p below .05; all, or the first ``most`` of a report."""
+    out = pairs.where((F.col("n") >= LEAST_PAIRS) & (F.abs("r") >= LEAST_R) & (F.col("p") < MOST_P)).orderBy(F.desc(F.abs("r")), "left", "right")
+    return out if most is None else out.limit(most)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -67,7 +68,15 @@ def dependency(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def dependencies(df: DataFrame, columns: list[str]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [dependency(df, a, b) for a, b in permutations(columns, 2)])
+    """dependency() of all ordered pairs from one pass: a row gives one cell per determinant, with the other columns' values, and the extremes of each
+    value of a determinant tell all its dependents at once."""
+    texts = {c: F.col(f"`{c}`").cast("string") for c in columns}
+    cells = [F.struct(F.lit(a).alias("a"), texts[a].alias("v"), *[texts[b].alias(f"b{i}") for i, b in enumerate(columns)]) for a in columns]
+    long = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("v is not null")
+    groups = long.groupBy("a", "v").agg(*[f(f"b{i}").alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("lo", F.min), ("hi", F.max))])
+    rates = groups.groupBy("a").agg(F.count(F.lit(1)).alias("groups"), *[F.avg(F.col(f"lo{i}").eqNullSafe(F.col(f"hi{i}")).cast("double")).alias(f"r{i}") for i in range(len(columns))])
+    rows = F.array(*[F.struct(F.lit(b).alias("dependent"), F.col(f"r{i}").alias("ratio")) for i, b in enumerate(columns)])
+    return rates.select(F.col("a").alias("determinant"), "groups", F.explode(rows).alias("x")).select("determinant", "x.dependent", "groups", "x.ratio").where("determinant <> dependent")
 
 
 def tuple_groups(pairs: list[tuple[str, str]]) -> list[list[str]]:
@@ -102,6 +111,24 @@ def grid(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select(F.lit(a).alias("left"), F.lit(b).alias("right"), "*", F.try_divide(F.col("pairs"), F.col("left_values") * F.col("right_values")).alias("completeness"))
 
 
+def grids(df: DataFrame, columns: list[str], most_values: int = 200, least: float = 0.9) -> DataFrame:
+    """grid() of all pairs of columns with 2 to ``most_values`` values each that span at least ``least`` of their panel. Which columns have so few is one
+    row, from which the pairs are chosen."""
+    sizes = df.agg(*[F.count_distinct(f"`{c}`").alias(c) for c in columns]).first()
+    few = [c for c in columns if 2 <= sizes[c] <= most_values]
+    parts = [grid(df, a, b) for a, b in combinations(few, 2)]
+    if not parts:
+        return grid(df, columns[0], columns[0]).where("1 = 0")
+    return reduce(DataFrame.unionByName, parts).where(F.col("completeness") >= least)
+
+
+def ranges(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, low, high): what the values of a column lie between; the least is 0 where no value is negative."""
+    aggs = [f(F.col(f"`{c}`").cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.min), ("z", F.max))]
+    cells = [F.struct(F.lit(c).alias("column_name"), F.when(F.col(f"a{i}") >= 0, 0.0).otherwise(F.col(f"a{i}")).alias("low"), F.col(f"z{i}").alias("high")) for i, c in enumerate(columns)]
+    return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("high is not null")
+
+
 def conditional(df: DataFrame, category: str, value: str) -> DataFrame:
     """(category, n, mean, std) per category with at least five values."""
     x = F.col(f"`{value}`").cast("double")

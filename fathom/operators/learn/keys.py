@@ -59,6 +59,12 @@ def primary_keys(tables: dict[str, DataFrame], relaxed: bool = False) -> DataFra
     return out
 
 
+def chosen_key(found: list[dict], table: str) -> str | None:
+    """Of several keys of a table (rows of primary_keys): the one called id, else one named after the table, else the first by name."""
+    names = sorted(r["column_name"] for r in found if r["table_name"] == table and r["is_key"])
+    return max(names, key=lambda n: (n.lower() == "id", name_score(n, table), [-ord(ch) for ch in n]), default=None)
+
+
 def foreign_keys(tables: dict[str, DataFrame], keys: dict[str, str], relaxed: bool = False) -> DataFrame:
     """(from_table, from_column, to_table, to_column, name_score, overlap, kind, confidence) of columns whose name points to a table
     and whose values are found there. kind is one_to_one if at least 95 % of the values are unique."""

@@ -29,6 +29,13 @@ def trend(df: DataFrame, order: list[str], column: str) -> DataFrame:
     return s.select(F.lit(column).alias("column_name"), "*", F.coalesce(F.col("r2") >= 0.3, F.lit(False)).alias("trending"))
 
 
+def trend_noise(df: DataFrame, order: list[str], column: str) -> DataFrame:
+    """(column_name, n, noise): the deviation of a series around its trend, from the differences of neighbours, whose variance is twice the noise's."""
+    rows = lagged(df.select(*dict.fromkeys([*order, column])).where(F.col(column).isNotNull()), [], order, column, "__before")
+    step = F.col(column).cast("double") - F.col("__before").cast("double")
+    return rows.agg(F.count(step).alias("n"), (F.stddev_samp(step) / F.sqrt(F.lit(2.0))).alias("noise")).select(F.lit(column).alias("column_name"), "n", "noise")
+
+
 def autocorrelation(df: DataFrame, order: list[str], column: str, lags: list[int]) -> DataFrame:
     """(lag, n, acf) of a series: sum of (x_i - m)(x_{i+k} - m) over the sum of squares. Lagged pairs come from an equi-join on
     the row number, so a long series is spread over tasks."""
@@ -40,10 +47,10 @@ def autocorrelation(df: DataFrame, order: list[str], column: str, lags: list[int
     return pairs.groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.sum(F.col("v") * F.col("w")), F.max("ss")).alias("acf"))
 
 
-def season_length(values: np.ndarray) -> int:
-    """The first peak of the autocorrelation of at least .3 after it has fallen below that, at lags 4 to min(n/3, 2000); 0 if none."""
+def season_length(values: np.ndarray, most: int | None = None) -> int:
+    """The first peak of the autocorrelation of at least .3 after it has fallen below that, at lags 4 to n/3, or ``most`` if given; 0 if none."""
     n = len(values)
-    top = min(n // 3, 2000)
+    top = min(n // 3, most or n)
     x = values - values.mean()
     total = float((x * x).sum())
     if top < 4 or total <= 0:

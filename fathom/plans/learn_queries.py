@@ -56,6 +56,18 @@ def learn_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("column_name", "family", "n", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round("aic", 2).alias("aic"))
 
 
+def learn_fit_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the family that made a column is the one found, with the winner's distance, for 20 000 values of each."""
+    from fathom.operators.generate import columns, engine
+
+    made = {"gamma": {"shape": 2.5, "scale": 2.0}, "beta": {"alpha": 2.0, "beta": 5.0}, "poisson": {"lambda": 4.0}, "normal": {"mean": 10.0, "std_dev": 2.0}, "exponential": {"lambda": 0.5}, "log_normal": {"mu": 1.0, "sigma": 0.5}, "pareto": {"scale": 2.0, "shape": 3.0}, "uniform": {"min": 2.0, "max": 5.0}}
+    ctx = {f: columns.Context(5, "recovery", f, 20_000) for f in made}
+    df = engine.row_source(spark, 20_000).select(*[columns.distribution_(ctx[f], f, p).alias(f) for f, p in made.items()])
+    found = fit.goodness(df, list(made))
+    near = F.when(F.col("family") == "poisson", F.lit(True)).otherwise(F.col("ks") < 0.02)
+    return found.select(F.col("column_name").alias("made_by"), "family", near.alias("near"))
+
+
 def learn_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fit.goodness(table(spark, sf_dir, "customer"), ["c_acctbal"])
     return out.select("column_name", "family", F.round("ks", 6).alias("ks"))
@@ -185,6 +197,79 @@ def learn_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(merged.select("table_name", "column_name", "rows", "null_rate", "mean", "std", "low", "high"), 4)
 
 
+def learn_state_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types of columns whose chunks differ in type."""
+    r = table(spark, sf_dir, "requests")
+    whole = r.select(F.lit("a").alias("load_id"), F.col("status_code").alias("x"), F.col("bytes_sent").alias("y"), F.col("status_code").alias("z"))
+    other = r.select(F.lit("b").alias("load_id"), F.col("response_time_ms").alias("x"), F.col("status_code").alias("y"), F.col("path").alias("z"))
+    parts = state.partials(whole, "load_id", "requests").unionByName(state.partials(other, "load_id", "requests"))
+    return state.merged(parts).select("column_name", "kind", "rows")
+
+
+def learn_state_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most frequent status codes and methods, merged from the loads, with the bounds of their counts."""
+    parts = state.top_partials(table(spark, sf_dir, "requests"), "load_id", "requests", ["status_code", "method"])
+    return state.top_merged(parts, 10).select("column_name", "value", "lower", "upper")
+
+
+def learn_state_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample merged from those of the loads against that of one pass: rows, and rows of only one of them."""
+    r = table(spark, sf_dir, "requests").select("load_id", "id", "loaded_at").distinct().where("load_id is not null")
+    merged = state.reservoir_merged(state.reservoir(r, "load_id", ["id", "loaded_at"], 500), ["id", "loaded_at"], 500).select("id", "loaded_at", F.lit(1).alias("a"))
+    direct = state.reservoir(r.withColumn("load_id", F.lit(0)), "load_id", ["id", "loaded_at"], 500).select(F.col("id").alias("i"), F.col("loaded_at").alias("t"), F.lit(1).alias("b"))
+    both = merged.join(direct, F.col("id").eqNullSafe(F.col("i")) & F.col("loaded_at").eqNullSafe(F.col("t")), "full_outer")
+    return both.agg(F.count("a").alias("rows"), F.count(F.when(F.col("a").isNull() | F.col("b").isNull(), 1)).alias("differ"))
+
+
+def learn_state_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows generated from a model that the merged state became: as many as asked for, within the ranges learned."""
+    from fathom.operators.generate import engine
+
+    r = table(spark, sf_dir, "requests").select("load_id", "bytes_sent", "status_code")
+    model = state.model_of(state.merged(state.partials(r, "load_id", "requests")), "requests", 5000)
+    span = r.agg(F.min("bytes_sent").alias("a"), F.max("bytes_sent").alias("z"))
+    made = engine.generate_table(spark, model, "requests").join(F.broadcast(span))
+    return made.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(~F.col("bytes_sent").between(F.col("a"), F.col("z")), 1)).alias("outside"))
+
+
+def learn_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user does most."""
+    return _rounded(behavior.field_preferences(table(spark, sf_dir, "events"), "user_id", ["event_type"]))
+
+
+def learn_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.ranges(table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"])
+
+
+def learn_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(correlate.grids(table(spark, sf_dir, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"]))
+
+
+def learn_trend_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(series.trend_noise(table(spark, sf_dir, "events"), ["event_id"], "value"), 9)
+
+
+def learn_segment_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the segments: actors, and whether there are at least two and none has fewer than two actors."""
+    sizes = learn_segments(spark, sf_dir).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.sum("n").alias("actors"), ((F.count(F.lit(1)) >= 2) & (F.min("n") >= 2)).alias("fit"))
+
+
+def learn_season_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The period found in series made with one, and in one without."""
+    t = spark.range(600).select(F.explode(F.array(*[F.struct(F.lit(f"p{p}").alias("series"), F.lit(p).alias("p")) for p in (7, 24, 60, 0)])).alias("x"), F.col("id").alias("at")).select("x.*", "at")
+    wave = F.when(F.col("p") > 0, F.sin(F.col("at") * (2 * 3.141592653589793) / F.col("p"))).otherwise((F.xxhash64("at") % 1000) / 1000.0)
+    return series.seasons(t.withColumn("v", wave), "series", "at", "v").select("series", "n", "period")
+
+
+def learn_time_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pattern found in times every minute, every day within seconds, and in times without one."""
+    jitter = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0
+    made = {"minute": F.col("id") * 60.0, "day": F.col("id") * 86_400.0 + jitter * 5, "none": F.col("id") * 600.0 + jitter * 1800}
+    t = spark.range(400).select(F.explode(F.array(*[F.struct(F.lit(k).alias("series"), F.timestamp_seconds(F.lit(1.7e9) + v).alias("at")) for k, v in made.items()])).alias("x")).select("x.*")
+    return series.time_patterns(t, "series", "at").select("series", "n", (F.col("pattern") == "fixed_interval").alias("fixed"))
+
+
 def learn_state_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "requests")
     return state.correlations(state.comoments(r, "load_id", ["response_time_ms", "bytes_sent", "status_code"])).select("left", "right", "n", F.round("r", 7).alias("r"))
@@ -241,6 +326,8 @@ def _fit_sql() -> str:
             f"{head}'log_normal' family, round(lm, 6) a, round(sqrt(lv), 6) b, round(4 + 2 * sl + n * (ln(2 * pi()) + ln(lv) + 1), 2) aic from {s}",
             f"{head}'exponential' family, round(1 / m, 6) a, null b, round(2 + 2 * (n * ln(m) + n), 2) aic from {s}",
             f"{head}'pareto' family, round(lo, 6) a, round(n / (sl - n * ln(lo)), 6) b, round(4 - 2 * (n * ln(n / (sl - n * ln(lo))) + n * (n / (sl - n * ln(lo))) * ln(lo) - (n / (sl - n * ln(lo)) + 1) * sl), 2) aic from {s}",
+            f"select column_name, n, 'gamma' family, round(k, 6) a, round(m / k, 6) b, round(4 - 2 * ((k - 1) * sl - n * k - n * k * ln(m / k) - n * lgamma(k)), 2) aic from (select '{c}' column_name, *, (3 - g + sqrt((g - 3) * (g - 3) + 24 * g)) / (12 * g) k from (select *, ln(m) - lm g from {s}))",
+            f"select column_name, n, 'zipf' family, round(hi, 6) a, round(p, 6) b, round(4 - 2 * (-p * sl - n * ln((select sum(pow(k, -p)) from range(1, cast(hi as bigint) + 1) r(k)))), 2) aic from (select '{c}' column_name, *, 1 + n / sl p from {s} where whole and lo >= 1) where p > 1 and p < 10",
             f"{head}'poisson' family, round(m, 6) a, null b, round(2 - 2 * (n * m * ln(m) - n * m - lg), 2) aic from {s} where whole",
         ]
     return " union all ".join(out)
@@ -323,6 +410,18 @@ SQL = {
     "learn_decimal_places": " union all ".join(f"select '{c}' column_name, length(rtrim(coalesce(nullif(split_part(cast({c} as varchar), '.', 2), ''), ''), '0')) places, count(*) n from lineitem group by 2" for c in ("l_discount", "l_quantity")),
     "learn_categories": "select o_orderpriority as \"value\", count(*) n, round(count(*) / (select count(*) from orders), 6) share from orders group by 1",
     "learn_fit": _fit_sql(),
+    "learn_fit_recovery": " union all ".join(f"select '{f}' made_by, '{f}' family, true near" for f in ("gamma", "beta", "poisson", "normal", "exponential", "log_normal", "pareto", "uniform")),
+    "learn_state_types": "select c column_name, k kind, cast(2 * n as bigint) as \"rows\" from (values ('x', 'double'), ('y', 'bigint'), ('z', 'string')) v(c, k), (select count(*) n from requests)",
+    "learn_state_top": "select column_name, value, lower, lower as \"upper\" from (select *, row_number() over (partition by column_name order by lower desc, value) r from (select 'status_code' column_name, cast(status_code as varchar) as value, count(*) lower from requests where status_code is not null and load_id is not null group by all union all select 'method', method, count(*) from requests where method is not null and load_id is not null group by all)) where r <= 10",
+    "learn_state_reservoir": 'select least(500, count(*)) as "rows", cast(0 as bigint) differ from (select distinct load_id, id, loaded_at from requests where load_id is not null)',
+    "learn_state_model": 'select cast(5000 as bigint) as "rows", cast(0 as bigint) outside',
+    "learn_preferences": "select user_id actor, 'event_type' column_name, event_type as value, n, round(n / t, 6) share from (select user_id, event_type, count(*) n, sum(count(*)) over (partition by user_id) t, row_number() over (partition by user_id order by count(*) desc, event_type) r from events where user_id is not null and event_type is not null group by 1, 2) where r = 1",
+    "learn_grids": "select * from (select 'o_orderstatus' as \"left\", 'o_orderpriority' as \"right\", count(distinct o_orderstatus) left_values, count(distinct o_orderpriority) right_values, count(distinct (o_orderstatus, o_orderpriority)) pairs, round(count(distinct (o_orderstatus, o_orderpriority)) / (count(distinct o_orderstatus) * count(distinct o_orderpriority)), 6) completeness from orders) where completeness >= 0.9",
+    "learn_ranges": "select 'c_acctbal' column_name, case when min(c_acctbal) >= 0 then 0.0 else min(c_acctbal) end low, max(c_acctbal) high from customer union all select 'c_nationkey', 0.0, cast(max(c_nationkey) as double) from customer",
+    "learn_trend_noise": "select 'value' column_name, count(d) n, round(stddev_samp(d) / sqrt(2), 9) noise from (select value - lag(value) over (order by event_id) d from events where value is not null)",
+    "learn_segment_rules": "select count(distinct user_id) actors, true fit from events where user_id is not null",
+    "learn_season_rules": "select s series, cast(600 as bigint) n, cast(p as int) period from (values ('p7', 7), ('p24', 24), ('p60', 60), ('p0', 0)) v(s, p)",
+    "learn_time_rules": "select s series, cast(400 as bigint) n, f fixed from (values ('minute', true), ('day', true), ('none', false)) v(s, f)",
     "learn_best_fit": "with o as (select c_acctbal x, count(*) k from customer group by 1), u as (select x, k, sum(k) over (order by x) cum, sum(k) over () n, min(x) over () lo, max(x) over () hi from o) select 'c_acctbal' column_name, 'uniform' family, round(max(greatest(abs(cum / n - (x - lo) / (hi - lo)), abs((cum - k) / n - (x - lo) / (hi - lo)))), 6) ks from u",
     "learn_pearson": _pearson_sql(),
     "learn_spearman": "with r as (select rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2.0 a, rank() over (order by p_retailprice) + (count(*) over (partition by p_retailprice) - 1) / 2.0 b from part) select 'p_size' as \"left\", 'p_retailprice' as \"right\", count(*) n, round(corr(a, b), 9) r from r",
