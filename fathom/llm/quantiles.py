@@ -9,11 +9,13 @@ groups are made from the finer ones' counts.
 Percentile p of n values is that of rank round(p/100 * (n-1)), counted from 0 in ascending order, halves up.
 
 Defined cases: null and NaN are left out; zeros, negative markers and extremes count as what they are. A group without
-values gives no row. Null grouping values are groups of their own. An empty table gives no rows.
+values gives no row. Null grouping values are groups of their own. Infinities count as the greatest finite values. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,6 +45,20 @@ def combine_sets(partials: DataFrame, groups: list[str], sets: list[tuple[str, .
     return combine(long, ["grouping", *groups])
 
 
+def percentiles_by_sets(partials: DataFrame, groups: list[str], sets: list[tuple[str, ...]], relative_error: float = RELATIVE_ERROR) -> DataFrame:
+    """``percentiles`` of several grouping sets of partial results, named by ``grouping``. The counts of all columns together are added first, placed
+    where their percentiles are taken; the other sets are rolled up from them and are small before they move."""
+    whole, keys = tuple(groups), ["grouping", *groups]
+    placed = partials.repartition(*[F.col(f"`{g}`") for g in groups], "column_name")
+    finest = combine(placed, groups)
+    parts = []
+    if whole in sets:
+        parts.append(percentiles(finest, groups, relative_error).select(F.lit(",".join(whole)).alias("grouping"), "*"))
+    if rest := [s for s in sets if s != whole]:
+        parts.append(percentiles(combine_sets(finest, groups, rest), keys, relative_error))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def percentiles(counts: DataFrame, keys: list[str], relative_error: float = RELATIVE_ERROR, wanted: tuple[int, ...] = PERCENTILES) -> DataFrame:
     """(*keys, column_name, n, p1, ...) from counts per bucket."""
     keys = [*keys, "column_name"]

@@ -63,8 +63,7 @@ _QUANTILE_SETS = [("server_id",), ("status_code",), ("day",), ("server_id", "sta
 
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles per server, status and day, each alone, together and overall, from the partial results of the loads."""
-    counts = quantiles.combine_sets(p5_partials(spark, sf_dir), _QUANTILE_GROUPS, _QUANTILE_SETS)
-    out = quantiles.percentiles(counts, ["grouping", *_QUANTILE_GROUPS])
+    out = quantiles.percentiles_by_sets(p5_partials(spark, sf_dir), _QUANTILE_GROUPS, _QUANTILE_SETS)
     ps = [f"p{p}" for p in quantiles.PERCENTILES]
     return out.select("grouping", *_QUANTILE_GROUPS, "column_name", "n", *[F.round(p, 6).alias(p) for p in ps], F.round("p50", 6).alias("median"), F.lit(quantiles.RELATIVE_ERROR).alias("relative_error"))
 
