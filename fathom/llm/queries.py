@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.buckets import bucket_sql, value_sql
 from fathom.llm import abuse, distinct, frequent, leaks, packing, quantiles
+from fathom.operators.relational import small
 from fathom.sources.tables import table
 
 # --- 1: distinct counts
@@ -144,6 +145,23 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id", "field").agg(F.count_distinct("doc_id").alias("documents"), F.max("run").alias("longest_run"))
 
 
+def _plain_runs(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """(*keys, h): hashes of all runs of twelve words of plain letters and digits."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " ")), " ")
+    runs = df.where(F.col(text).isNotNull()).select(*keys, words.alias("w")).where(F.size("w") >= leaks.RUN)
+    hashes = F.transform(F.sequence(F.lit(1), F.size("w") - (leaks.RUN - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, leaks.RUN), " ")))
+    return runs.select(*keys, F.explode(hashes).alias("h"))
+
+
+def p8_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and items that share twelve words even without undoing markup and the like: how many there are, and how many p8_found lacks."""
+    e = table(spark, sf_dir, "eval_items")
+    items = _plain_runs(e.select("item_id", F.col("question").alias("t")).unionByName(e.select("item_id", F.col("answer").alias("t"))), "t", ["item_id"]).distinct()
+    pairs = _plain_runs(table(spark, sf_dir, "documents"), "text", ["doc_id"]).join(small(items), "h").select("doc_id", "item_id").distinct()
+    both = pairs.join(p8_found(spark, sf_dir).withColumn("hit", F.lit(1)), ["doc_id", "item_id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("hit").isNull(), 1)).alias("lost"))
+
+
 # --- 9: abuse
 
 
@@ -164,6 +182,13 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(_scored(spark, sf_dir))
 
 
+def p9_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that all their raters judged alike: how many, and whether at least nine in ten of those flagged were called toxic."""
+    votes = table(spark, sf_dir, "abuse_labels").groupBy("doc_id").agg(F.min("toxic").alias("low"), F.max("toxic").alias("high")).where("low = high")
+    both = votes.join(p9_found(spark, sf_dir).withColumn("hit", F.lit(1)), "doc_id", "left")
+    return both.agg(F.count(F.lit(1)).alias("judged"), F.coalesce(F.avg(F.when(F.col("hit") == 1, F.col("low"))) >= 0.9, F.lit(True)).alias("right"))
+
+
 QUERIES = {
     "p1_distinct_counts": p1_distinct_counts,
     "p1_partials": p1_partials,
@@ -178,15 +203,22 @@ QUERIES = {
     "p7_rules": p7_rules,
     "p8_found": p8_found,
     "p8_items": p8_items,
+    "p8_plain": p8_plain,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
     "p9_rates": p9_rates,
+    "p9_judged": p9_judged,
 }
 
 _SETS = [s for s in distinct.grouping_sets(_GROUPS) if len(s) < 3]
 _DAYS = '(select *, cast(requested_at as date) as "day" from requests)'
 
+_WORDS = "string_split(trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')), ' ')"
+_RUNS = "select distinct {k}, array_to_string(w[i:i + 11], ' ') g from (select {k}, w, unnest(range(1, len(w) - 10)) i from (select {k}, " + _WORDS + " w from {t}) where len(w) >= 12)"
+
 SQL = {
+    "p8_plain": f"with d as ({_RUNS.format(k='doc_id', c='text', t='documents')}), e as ({_RUNS.format(k='item_id', c='question', t='eval_items')} union {_RUNS.format(k='item_id', c='answer', t='eval_items')}) select count(*) pairs, cast(0 as bigint) lost from (select distinct doc_id, item_id from d join e using (g))",
+    "p9_judged": 'select count(*) judged, true as "right" from (select doc_id from abuse_labels group by 1 having min(toxic) = max(toxic))',
     "p7_rules": "select cast(0 as bigint) torn, cast(0 as bigint) cut, cast(0 as bigint) wrong, cast(0 as bigint) beyond",
     "p1_coverage": " union all ".join(f"select '{i}' identifier, cast(sum(n) as bigint) \"groups\", true covered from ({' union all '.join(f'select count(*) n from (select 1 from {_DAYS} where {i} is not null' + (' group by ' + ', '.join(chr(34) + c + chr(34) for c in s) if s else ' limit 1') + ')' for s in _SETS)})" for i in _IDENTIFIERS),
     "p5_percentiles": _percentile_sql(),
