@@ -249,6 +249,14 @@ def learn_trend_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(series.trend_noise(table(spark, sf_dir, "events"), ["event_id"], "value"), 9)
 
 
+def learn_coverage_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct counts of sketches against exact ones: per column the exact count, and whether the estimate is within 3 %."""
+    li = table(spark, sf_dir, "lineitem").select(F.lit(1).alias("chunk"), "l_orderkey", "l_partkey", "l_quantity")
+    found = state.merged(state.partials(li, "chunk", "lineitem")).select("column_name", F.col("distinct").alias("estimate"))
+    exact = profile.column_counts(li, ["l_orderkey", "l_partkey", "l_quantity"]).select("column_name", "distinct")
+    return exact.join(found, "column_name").select("column_name", "distinct", (F.abs(F.col("estimate") / F.col("distinct") - 1) <= 0.03).alias("near"))
+
+
 def learn_segment_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the segments: actors, and whether there are at least two and none has fewer than two actors."""
     sizes = learn_segments(spark, sf_dir).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
@@ -419,6 +427,7 @@ SQL = {
     "learn_grids": "select * from (select 'o_orderstatus' as \"left\", 'o_orderpriority' as \"right\", count(distinct o_orderstatus) left_values, count(distinct o_orderpriority) right_values, count(distinct (o_orderstatus, o_orderpriority)) pairs, round(count(distinct (o_orderstatus, o_orderpriority)) / (count(distinct o_orderstatus) * count(distinct o_orderpriority)), 6) completeness from orders) where completeness >= 0.9",
     "learn_ranges": "select 'c_acctbal' column_name, case when min(c_acctbal) >= 0 then 0.0 else min(c_acctbal) end low, max(c_acctbal) high from customer union all select 'c_nationkey', 0.0, cast(max(c_nationkey) as double) from customer",
     "learn_trend_noise": "select 'value' column_name, count(d) n, round(stddev_samp(d) / sqrt(2), 9) noise from (select value - lag(value) over (order by event_id) d from events where value is not null)",
+    "learn_coverage_rules": " union all ".join(f"select '{c}' column_name, count(distinct {c}) as \"distinct\", true near from lineitem" for c in ("l_orderkey", "l_partkey", "l_quantity")),
     "learn_segment_rules": "select count(distinct user_id) actors, true fit from events where user_id is not null",
     "learn_season_rules": "select s series, cast(600 as bigint) n, cast(p as int) period from (values ('p7', 7), ('p24', 24), ('p60', 60), ('p0', 0)) v(s, p)",
     "learn_time_rules": "select s series, cast(400 as bigint) n, f fixed from (values ('minute', true), ('day', true), ('none', false)) v(s, f)",

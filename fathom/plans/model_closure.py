@@ -202,6 +202,31 @@ def gen_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy("turn").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(wrong))
 
 
+#: Means and deviations that the parameters below state.
+_MOMENTS = {"poisson": ({"lambda": 4.0}, 4.0, 2.0), "binomial": ({"n": 20, "p": 0.3}, 6.0, 2.049390), "zipf": ({"n": 50, "s": 1.2}, 8.483214, 11.107263), "gamma": ({"shape": 2.5, "scale": 2.0}, 5.0, 3.162278), "beta": ({"alpha": 2.0, "beta": 5.0}, 0.285714, 0.159719), "chi_squared": ({"k": 4.0}, 4.0, 2.828427), "student_t": ({"n": 6.0}, 0.0, 1.224745)}
+
+
+def gen_moment_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families that need a table or rejection, on 100 000 rows: whether mean and deviation are within 3 % of a deviation of what they should be."""
+    from fathom.operators.generate import columns
+
+    ctx = {f: columns.Context(7, "moments", f, 100_000) for f in _MOMENTS}
+    df = engine.row_source(spark, 100_000).select(*[columns.distribution_(ctx[f], f, p).alias(f) for f, (p, _, _) in _MOMENTS.items()])
+    cells = [F.struct(F.lit(f).alias("family"), (F.abs(F.avg(f) - m) <= 0.03 * d).alias("mean"), (F.abs(F.stddev_pop(f) / d - 1) <= 0.03).alias("deviation")) for f, (_, m, d) in _MOMENTS.items()]
+    return df.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def gen_copula_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns reordered to a rank correlation of .8: rows, values that changed, and whether the correlation is near."""
+    from fathom.functions.rng import Rng
+    from fathom.operators.generate import series
+
+    p = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", (F.col("c_custkey") * 1.5).alias("other"))
+    made = series.gaussian_copula(p, Rng(4, "gc", F.col("c_custkey")), "c_custkey", ["c_acctbal", "other"], [[1.0, 0.8], [0.8, 1.0]])
+    changed = made.select("c_acctbal").exceptAll(p.select("c_acctbal")).agg(F.count(F.lit(1)).alias("changed"))
+    return made.agg(F.count(F.lit(1)).alias("rows"), F.corr("c_acctbal", "other").between(0.7, 0.9).alias("near")).join(F.broadcast(changed))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("gen_")}
 
 _RULES = ("circles of managers", "managers deeper than allowed", "pairs of employee and skill that come twice", "tuples that do not belong together", "serial numbers that come twice", "actors with two moods", "replies to later comments", "threads deeper than allowed", "names of departments before all are used", "times of a device that go back")
@@ -210,6 +235,8 @@ SQL = {
     "gen_model_rules": " union all ".join(f"select '{r}' as \"rule\", cast(0 as bigint) n" for r in _RULES),
     "gen_fk_zipf": 'select cast(200000 as bigint) as "rows", true reaches_beyond, cast(0 as bigint) orphans',
     "gen_graph_rules": " union all ".join(f"select '{k}' kind, cast(0 as bigint) loops, cast(0 as bigint) outside, cast(0 as bigint) repeated, true as_many" for k in ("complete", "erdos_renyi", "small_world", "scale_free", "blocks", "configuration", "hierarchical")),
+    "gen_moment_rules": " union all ".join(f"select '{f}' family, true mean, true deviation" for f in _MOMENTS),
+    "gen_copula_rules": 'select count(*) as "rows", true near, cast(0 as bigint) changed from customer',
     "gen_hierarchy_rules": "select cast(5000 as bigint) nodes, cast(1 as bigint) tops, cast(0 as bigint) circles, cast(4 as bigint) depth",
     "gen_recurrence_rules": 'select cast(5000 as bigint) as "rows", cast(0 as bigint) differ',
     "gen_external": "select n_name turn, cast(40 as bigint) n, cast(0 as bigint) torn from nation",
