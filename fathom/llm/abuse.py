@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.session import checkpoint
+
 THRESHOLD = 1.0
 WINDOW = 30
 NEAR = 4
@@ -475,6 +477,7 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     votes = labels.where(F.col(doc_id).isNotNull() & F.col(toxic).isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("d")).agg(F.min(toxic).alias("low"), F.max(toxic).alias("high"), F.max(F.when(F.col(toxic) > 0, F.col(category))).alias("c"))
     agreed = votes.where("low = high").select("d", (F.col("low") > 0).alias("bad"), F.coalesce("c", F.lit("abusive")).alias("c")).orderBy(F.xxhash64("d"), "d").limit(judged)
     texts = documents.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t")).join(F.broadcast(agreed), "d")
+    texts = checkpoint(texts)  # used three times; the documents are read once for it
 
     def counted(batches: Iterator[pd.DataFrame], among=None) -> Iterator[pd.DataFrame]:
         """The different phrases of each document, or those of them looked for."""
