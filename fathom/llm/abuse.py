@@ -82,7 +82,7 @@ nobody would miss you|no one would miss you|nobody will miss you|nobody will eve
 world would be better without you|should never have been born|should have been aborted|shut your mouth|shut your face|shut the fuck up|fuck you|fuck off|go fuck yourself|eat shit|suck a dick|go to hell|rot in hell|burn in hell|i hate you so|
 i know where you live|find out where you live|we know where you live|watch your back|sleep with one eye open|coming for you and your|wont see another|wont live to see|will regret being born|put a bullet in|skin you alive|beat you up|
 beat the shit out of you|knock your teeth|spit in your face|spit on you|piss on your grave|dance on your grave|you make us sick|you make me sick|you make me want to vomit|you disgust me|you disgust us|your mother is a|your mom is a|your mother should have|son of a bitch|
-dumb as you|stupid as you|as dumb as you|as stupid as you|dumber than you|you are nothing but|you are subhuman|you are vermin|ashamed of you|embarrassment to your family|disgrace to your family|crawl back into|wipe my ass with your|
+dumb as you|stupid as you|as dumb as you|as stupid as you|dumber than you|you are nothing but|you are subhuman|you are vermin|ashamed of you|embarrassment to your family|disgrace to your family|crawl back into|
 halt die fresse|halt die schnauze|halt dein maul|halts maul|fick dich|verpiss dich|verreck doch|verrecke|verreck|bring dich um|bringe dich um|mach dich fertig|mache dich fertig|schlag dich|schlage dich|schlag dir|schlage dir|brech dir|breche dir|stech dich ab|steche dich ab|
 geh sterben|hang dich auf|spring vom dach|ich finde dich|weiss wo du wohnst|deine mutter ist|leck mich am arsch|niemand mag dich|keiner mag dich|du bist abschaum|du bist dreck|
 callate de una puta vez|hijo de puta|hija de puta|muerete|ojala te mueras|ojala te pudras|te voy a matar|te voy a romper|te voy a partir|te voy a reventar|te voy a encontrar|voy a romperte|voy a partirte|vete a la mierda|vete al infierno|que te den|te mataria|se donde vives|
@@ -90,23 +90,23 @@ romper la cara|partir la cara|me das asco|nos das asco|pudrete|matate|nadie te q
 va crever|creve donc|tu vas crever|pauvre con|pauvre conne|pauvre imbecile|casser les dents|casser la gueule|casser la figure|ferme ta gueule|ta gueule|nique ta mere|fils de pute|va te faire|va te pendre|je vais te tuer|je vais te crever|je vais te casser|je vais te frapper|
 je vais te trouver|je te tuerai|je sais ou tu habites|tu me degoutes|tu nous degoutes|sale con|sale conne|sale chien|sale porc|personne ne t aime|personne ne taime|tue toi|pends toi|tu es une merde
 0.7 i will find you|ill find you|too stupid to|too dumb to|too lazy to|brain damage|brain of a|iq of a|the average iq|stfu|piss off|screw you|hunt you|regret the day|your ugly|your stupid|your pathetic|your worthless|your filthy|your disgusting|your miserable|you smell|you stink|you people are|people like you|
-someone like you|somebody like you|bastards like you|nobody wants you|nobody needs you|nobody asked you|shut up|go back to school|learn to read|ashamed of yourself|cry more|makes me sick|
+someone like you|somebody like you|bastards like you|nobody wants you|nobody needs you|nobody asked you|shut up|go back to school|learn to read|ashamed of yourself|makes me sick|
 deine mutter|so ein|wie du gehort|du gehorst|du bist so|du bist ein|dich braucht keiner|idioten wie|leute wie du|typen wie du|tu madre|eres un|eres una|eres mas tonto|gente como tu|eres lo peor|tu es un|tu es une|tu n es qu|tu nes qu|t es qu|des gens comme toi|espece de|degueulasse
 0.5 you deserve|should be fired|should be beaten|every time you open your mouth|nobody in their right mind|in your whole life|beaten|verprugelt|pauvre|crever|sterben|morir"""
 HATEFUL = """1 are subhuman|are subhumans|are untermenschen|are not real people|are not people|are not human|are not humans|not fully human|not even human|are no humans|inferior race|should not be allowed to breed|should not be allowed to vote|should not have children|breed like|multiply like rats|
-belong in cages|belong in a cage|belong in camps|belong in a camp|belong in a zoo|belong in the gutter|go back where you came from|go back to where you came from|go back to your country|go back to africa|ship them back|would be cleaner without|hang them all|shoot them all|kill them all|drown them all|
-gas them|exterminate them|wipe them out|burn down the houses of|burn their houses|infest our|infesting our|ruin our country|ruining our country|invade our country|that kind cannot|
+belong in cages|belong in a cage|belong in camps|belong in a camp|belong in a zoo|belong in the gutter|go back where you came from|go back to where you came from|go back to your country|go back to africa|ship them back|hang them all|shoot them all|kill them all|drown them all|
+gas them|exterminate them|wipe them out|burn their houses|infest our|infesting our|ruin our country|ruining our country|invade our country|
 sind ungeziefer|sind abschaum|sind untermenschen|sind keine menschen|sind keine echten menschen|auslander raus|gehoren vergast|gehoren in kafige|gehoren abgeschoben|vermehren sich wie|sollte man vergasen|alle abschieben|
 son escoria|son alimanas|no son personas|no son gente|no son humanos|hay que echarlos|habria que echarlos|habria que matarlos|fuera los|vuelvan a su pais|se reproducen como|deberian estar en jaulas|
 sont de la vermine|sont des cafards|sont des sous hommes|ne sont pas des humains|ne sont pas des gens|faut tous les virer|faut tous les bruler|faut tous les enfermer|rentrez chez vous|retournez chez vous|retourne dans ton pays|se reproduisent comme|devraient etre en cage
 0.6 are vermin|are rats|are parasites|are scum|are animals|are trash|are garbage|are filth|are savages|are cockroaches|are criminals|are thieves|are rapists|are terrorists|are liars|are lazy|are stupid|are dirty|are disgusting|are inferior|are dumb|are a plague|are a disease|are a cancer|are monkeys|are apes|are pigs|are dogs|
 are leeches|are invaders|are degenerates|are perverts|are freaks|are less intelligent|are all the same|are nothing but|are all|should be wiped out|cannot think|cannot be trusted|cannot count|a plague|should be deported|should all be|should be shot|should be hanged|should be sterilised|should be sterilized|should be locked up|should be banned|should be thrown out|
 should be kicked out|should be burned|should be gassed|should stay in the kitchen|belong in the kitchen|belong in prison|belong behind bars|belong in|do not belong|dont belong|not welcome|should not vote|should not be allowed|must not be allowed|get rid of|got rid of|throw them out|kick them out|lock them up|round them up|
-round up the|send them back|keep them away|away from our|out of our country|never hire|do not hire|dont hire|never trust|never work with|never share a|do not share a|give a job to|steal our|steal what|are stealing|they smell|they stink|they lie|too dumb to|too lazy to|and you get a|always cheat|only know how to|
+round up the|send them back|keep them away|away from our|out of our country|never hire|do not hire|dont hire|never trust|never work with|steal our|steal what|are stealing|they smell|they stink|they lie|too dumb to|too lazy to|always cheat|only know how to|
 sind tiere|sind ratten|sind parasiten|sind dreck|sind eine plage|sind faul|sind dumm|sind kriminelle|gehoren rausgeworfen|gehoren eingesperrt|stinken|rauswerfen|abschieben|einsperren|nicht einstellen|stellt keine|nehmen uns|sind alle|sind nichts als|
 son basura|son animales|son parasitos|son ratas|son unas ratas|son una plaga|son bestias|son ladrones|son vagos|echarlos|no contraten|nos roban|apestan|son todos|no son mas que|
 sont des parasites|sont des rats|sont des animaux|sont des betes|sont des dechets|sont des ordures|sont des voleurs|sont une plaie|sont une maladie|les virer|n embauchez pas|nembauchez pas|nous volent|puent|dehors|sales|sont tous|ne sont que
-0.4 filthy|typical for|typical of|typisch fur|tipico de|typique des|every last one of them|all of them|no more|never again"""
+0.4 filthy|typical for|typical of|typisch fur|tipico de|typique des|all of them|no more|never again"""
 EXPLICIT = """1 want to fuck|wanna fuck|to fuck you|fuck you on|fucked her|fucked him|fucks her|fucks him|fuck her|fuck him|send me nudes|send nudes|nude pics|naked pics|nude photos|naked photos|dick pic|dick pics|spreading her legs|spreading his legs|spread your legs|spread her legs|came all over|cum all over|suck my dick|
 suck my cock|suck my pussy|touch myself|pushed his cock|rough sex|anal sex|oral sex with|cum on my|cum in my|sit on my face|jerk off|jerking off|thrust into|thrusting into|bend you over|bent you over|bent her over|ride you until|ride me until|make you cum|make you moan|scream my name|made her cum|make me cum|
 stroked him|stroking his|stroking her|deep inside her|deep inside you|gangbang|creampie|his cock|her cock|my cock|your cock|hard cock|his dick|my dick|your dick|wet pussy|your nipples|her nipples|unzipped his|lick your|lick you|lick her|get naked for|naked for me|sex with you|sex with me|sleep with me tonight|
