@@ -70,6 +70,12 @@ def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(_forest(spark, sf_dir)).select(F.col("id").alias("employee_id"), F.col("descendant").alias("descendant_id"), F.col("distance").cast("long").alias("distance"))
 
 
+def p3_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes that p3_descendants leaves out as ancestors: per circle all employees below it, and whether they are on it. Each of those on it has all
+    others of its class as descendants."""
+    return _forest(spark, sf_dir).where("cycle_id is not null").select("cycle_id", F.col("id").alias("employee_id"), "on_cycle")
+
+
 _FOREST_SQL = """with recursive cur as (select employeeID id, arg_max_null(reportsTo, loaded_at) p from employees group by 1),
 e as (select c.id, k.id p from cur c left join cur k on k.id = c.p),
 reach as (select id, p anc from e where p is not null union select r.id, e.p from reach r join e on e.id = r.anc where e.p is not null),
@@ -259,7 +265,7 @@ def _violations_sql() -> str:
     return f"select table_name, load_id, row_key, column_name, \"value\", mask from ({_all_masks_sql(value='value')}) v where not exists (select 1 from ({keep}) k where k.table_name = v.table_name and k.column_name = v.column_name and k.mask = v.mask)"
 
 
-QUERIES = {"p2_found": p2_found, "p2_orphan_counts": p2_orphan_counts, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p4_found": p4_found, "p4_profile": p4_profile, "p4_masks": p4_masks, "p4_mask_report": p4_mask_report, "p4_dominant": p4_dominant, "p4_violations": p4_violations}
+QUERIES = {"p2_found": p2_found, "p2_orphan_counts": p2_orphan_counts, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p3_circles": p3_circles, "p4_found": p4_found, "p4_profile": p4_profile, "p4_masks": p4_masks, "p4_mask_report": p4_mask_report, "p4_dominant": p4_dominant, "p4_violations": p4_violations}
 
 SQL = {
     "p2_found": _orphan_sql("select distinct child_table, child_column, child_key from o"),
@@ -269,6 +275,7 @@ SQL = {
     " below as (select anc, count(*) n from reach where anc <> id group by 1)"
     " select e.id employee_id, t.root, t.depth, t.path, f.cycle_id, coalesce(b.n, 0) descendants from e left join tree t on t.id = e.id left join found f on f.employee_id = e.id left join below b on b.anc = e.id",
     "p3_descendants": f"{_FOREST_SQL}, walk as (select id anc, id, cast(0 as bigint) distance from e where id not in (select id from circle) union all select w.anc, e.id, w.distance + 1 from walk w join e on e.p = w.id where e.id not in (select id from circle)) select anc employee_id, id descendant_id, distance from walk where distance > 0",
+    "p3_circles": f"{_FOREST_SQL} select cycle_id, employee_id, employee_id in (select id from circle) on_cycle from found",
     "p4_found": _departure_sql(),
     "p4_profile": _profile_sql(),
     "p4_masks": _masks_sql(),
