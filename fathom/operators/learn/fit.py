@@ -60,20 +60,21 @@ def likelihoods(stats: DataFrame, keys: list[str] = ["column_name"]) -> DataFram
     tail = F.col("sl") - n * F.ln("low")
     two_pi = math.log(2 * math.pi)
     positive = F.col("low") > 0
-    gap = F.ln(mean) - mu
-    shape = (3 - gap + F.sqrt((gap - 3) * (gap - 3) + 24 * gap)) / (12 * gap)
-    spread = mean * (1 - mean) / var - 1
-    alpha, beta = mean * spread, (1 - mean) * spread
-    power = 1 + n / F.col("sl")
+    # columns of their own, since they stand in many places
+    stats = stats.withColumns({"__gap": F.ln(mean) - mu, "__spread": F.try_divide(mean * (1 - mean), var) - 1, "__power": 1 + F.try_divide(n, F.col("sl"))})
+    gap, spread, power = F.col("__gap"), F.col("__spread"), F.col("__power")
+    stats = stats.withColumns({"__shape": F.try_divide(3 - gap + F.sqrt((gap - 3) * (gap - 3) + 24 * gap), 12 * gap), "__alpha": mean * spread, "__beta": (1 - mean) * spread})
+    shape, alpha, beta = F.col("__shape"), F.col("__alpha"), F.col("__beta")
+    stats = stats.withColumns({f"__g_{k}": ln_gamma(c) for k, c in (("shape", shape), ("alpha", alpha), ("beta", beta), ("sum", alpha + beta))} | {"__h": F.when((F.col("high") >= 2) & (power > 1) & (power < 10), ln_harmonic(F.col("high"), power))})
     rows = {
         "uniform": (F.lit(True), F.col("low"), F.col("high"), -n * F.ln(F.col("high") - F.col("low"))),
         "normal": (var > 0, mean, F.sqrt(var), -n / 2 * (two_pi + F.ln(var) + 1)),
         "log_normal": (positive & (lvar > 0), mu, F.sqrt(lvar), -F.col("sl") - n / 2 * (two_pi + F.ln(lvar) + 1)),
         "exponential": ((F.col("low") >= 0) & (mean > 0), 1 / mean, F.lit(None).cast("double"), -n * F.ln(mean) - n),
         "pareto": (positive & (tail > 0), F.col("low"), n / tail, n * F.ln(n / tail) + n * n / tail * F.ln("low") - (n / tail + 1) * F.col("sl")),
-        "gamma": (positive & (gap > 0), shape, mean / shape, (shape - 1) * F.col("sl") - n * shape - n * shape * F.ln(mean / shape) - n * ln_gamma(shape)),
-        "beta": (positive & (F.col("high") < 1) & (var > 0) & (spread > 0), alpha, beta, (alpha - 1) * F.col("sl") + (beta - 1) * F.col("sr") - n * (ln_gamma(alpha) + ln_gamma(beta) - ln_gamma(alpha + beta))),
-        "zipf": (F.col("whole") & (F.col("low") >= 1) & (F.col("high") >= 2) & (F.col("sl") > 0) & (power > 1) & (power < 10), F.col("high"), power, -power * F.col("sl") - n * ln_harmonic(F.col("high"), power)),
+        "gamma": (positive & (gap > 0), shape, mean / shape, (shape - 1) * F.col("sl") - n * shape - n * shape * F.ln(mean / shape) - n * F.col("__g_shape")),
+        "beta": (positive & (F.col("high") < 1) & (var > 0) & (spread > 0), alpha, beta, (alpha - 1) * F.col("sl") + (beta - 1) * F.col("sr") - n * (F.col("__g_alpha") + F.col("__g_beta") - F.col("__g_sum"))),
+        "zipf": (F.col("whole") & (F.col("low") >= 1) & (F.col("high") >= 2) & (F.col("sl") > 0) & (power > 1) & (power < 10), F.col("high"), power, -power * F.col("sl") - n * F.col("__h")),
         "poisson": (F.col("whole") & (mean > 0), mean, F.lit(None).cast("double"), F.col("s1") * F.ln(mean) - n * mean - F.col("lgamma")),
     }
     cells = [F.when(ok, F.struct(F.lit(f).alias("family"), a.alias("a"), b.alias("b"), ll.alias("log_likelihood"), (2 * FAMILIES[f] - 2 * ll).alias("aic"), (FAMILIES[f] * F.ln(n) - 2 * ll).alias("bic"))) for f, (ok, a, b, ll) in rows.items()]
